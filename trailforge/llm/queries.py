@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import byte_bpe, simhash
 
 QUERIES: dict = {
     "op3_simhash_dedup": simhash.query,
+    "op4_byte_bpe": byte_bpe.query,
 }
 ORACLES: dict = {}
