@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, simhash
+from . import byte_bpe, packing, simhash
 
 QUERIES: dict = {
+    "op2_packing": packing.query,
     "op3_simhash_dedup": simhash.query,
     "op4_byte_bpe": byte_bpe.query,
 }
