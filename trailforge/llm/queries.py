@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, simhash
+from . import byte_bpe, packing, simhash, topk
 
 QUERIES: dict = {
     "op2_packing": packing.query,
     "op3_simhash_dedup": simhash.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op9_exact_topk": topk.query,
+}
+ORACLES: dict = {
+    "op9_exact_topk": topk.ORACLE,
 }
-ORACLES: dict = {}
