@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, multiset_hash, packing, simhash, topk
+from . import byte_bpe, chat, multiset_hash, packing, simhash, topk, toxicity
 
 QUERIES: dict = {
     "op1_chat_format": chat.query,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op4_byte_bpe": byte_bpe.query,
     "op7_multiset_hash": multiset_hash.query,
     "op9_exact_topk": topk.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLES: dict = {
     "op1_chat_format": chat.ORACLE,
