@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, multiset_hash, packing, pii, simhash, topk, toxicity
+from . import byte_bpe, chat, line_dedup, multiset_hash, packing, pii, simhash, topk, toxicity
 
 QUERIES: dict = {
     "op1_chat_format": chat.query,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op4_byte_bpe": byte_bpe.query,
     "op6_pii": pii.query,
     "op7_multiset_hash": multiset_hash.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_exact_topk": topk.query,
     "op10_toxicity": toxicity.query,
 }
