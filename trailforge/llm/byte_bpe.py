@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_frames, whole_text
+from .common import freed_id, held_id, id_kind, split_frames, whole_text
 
 #: Entries of each generation of a worker's memories (results don't depend on it).
 MEMO = 150_000
@@ -221,8 +221,8 @@ def map_texts(docs: DataFrame, row: Callable[[BacktrackBPE, str], dict], schema:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, {schema}")
+    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
+    return freed_id(ins.mapInPandas(run, f"doc_id {id_kind(docs, id_col)}, {schema}"), docs, id_col)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +242,8 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": [bpe.decode(() if ids is None else ids.tolist()) for ids in pdf["ids"]]})
 
-    kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"doc_id {kind}, data binary")
+    ins = tokens.select(held_id(tokens, id_col), F.col(ids_col).alias("ids"))
+    return freed_id(ins.mapInPandas(run, f"doc_id {id_kind(tokens, id_col)}, data binary"), tokens, id_col)
 
 
 def _digests(bpe: BacktrackBPE, text: str) -> dict:

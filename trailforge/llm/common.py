@@ -38,6 +38,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_NO_ID = -(1 << 63)
+
+
+def held_id(docs: DataFrame, name: str) -> Column:
+    """The id column as ``doc_id``; a null integer travels as the least long, as pandas would turn a batch with nulls into doubles."""
+    whole = docs.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return (F.coalesce(F.col(name).cast("bigint"), F.lit(_NO_ID)) if whole else F.col(name)).alias("doc_id")
+
+
+def freed_id(df: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``df`` with the ids that ``held_id`` held, in the type they had."""
+    kind = docs.schema[name].dataType
+    if df.schema["doc_id"].dataType.simpleString() != "bigint":
+        return df
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)).cast(kind))
+
+
+def id_kind(docs: DataFrame, name: str) -> str:
+    """The type in which ids travel."""
+    kind = docs.schema[name].dataType.simpleString()
+    return "bigint" if kind in ("tinyint", "smallint", "int") else kind
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import freed_id, held_id, id_kind, whole_text
 
 EXACT, ROUGH, GRAM = 4, 128, 16  # a gram's lane and sign are 8 bits of its hash
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -142,7 +142,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     is a share of the rows; each text is shuffled once.  The last bucket's tail
     is the first row of all.  Null ids come first.
     """
-    ins = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    ins = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("key"), held_id(docs, id_col), whole_text(text_col).alias("text"))
     keys = ins.select("key")
     count = keys.count()
     buckets = max(1, min(BUCKETS, count // ROWS))
@@ -193,13 +193,11 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out.append((own_id, len(own), digest, own_fp.hex(), edited_fp.hex(), own_fp.likeness(edited_fp), own_fp.likeness(fp)))
                 held = None if tail else (bucket, doc_id, text, fp)
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            if len(frame) and pdf["doc_id"].dtype.kind == "i":
-                frame["doc_id"] = frame["doc_id"].astype("int64")
             yield frame
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).select("bucket", "tail", "doc_id", "text").mapInPandas(run, schema)
+    schema = f"doc_id {id_kind(docs, id_col)}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    placed = with_next(docs, id_col, text_col).select("bucket", "tail", "doc_id", "text")
+    return freed_id(placed.mapInPandas(run, schema), docs, id_col)
 
 
 def edit(own: str, following: str) -> str:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, split_frames, whole_text
+from .common import freed_id, held_id, id_kind, materialize, split_frames, whole_text
 
 WINDOW = 4096
 OPEN = 32
@@ -159,9 +159,7 @@ def _pack_partition(path: str, end_id: int, size: int, windows: int, slack: int)
 
         task = TaskContext.get().partitionId()
         tok, packer = tokenizer(path), Packer(size, windows, slack)
-        kind = None
         for pdf in split_frames(batches):
-            kind = pdf["doc_id"].dtype
             rows, at = [], []
             for i, text in enumerate(pdf["text"]):
                 ids = tok.encode(text)
@@ -190,9 +188,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = WIND
     are gapless from 0.  Left-over windows are merged whole, so that the
     fingerprints of their pieces hold.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    ins = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    made = materialize(ins.mapInPandas(_pack_partition(tokenizer_path, end_id, size, windows, slack), f"doc_id {kind}, {PIECES}"), "pieces")
+    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
+    packed = ins.mapInPandas(_pack_partition(tokenizer_path, end_id, size, windows, slack), f"doc_id {id_kind(docs, id_col)}, {PIECES}")
+    made = materialize(freed_id(packed, docs, id_col), "pieces")
     left = made.where("length is null").select("task", "window", F.col("offset").alias("fill"))
     count = left.count()
     groups = max(1, -(-count // MERGED_TOGETHER))

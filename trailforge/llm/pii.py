@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_frames, whole_text
+from .common import freed_id, held_id, id_kind, split_frames, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -435,9 +435,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInPandas(run, schema)
+    schema = f"doc_id {id_kind(docs, id_col)}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string"
+    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
+    return freed_id(ins.mapInPandas(run, schema), docs, id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

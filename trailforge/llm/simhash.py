@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_frames, whole_text
+from .common import freed_id, held_id, id_kind, materialize, split_frames, whole_text
 from .components import connected_components
 
 SEED = 42
@@ -70,9 +70,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([text_fingerprint(t, width) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    ins = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    return ins.mapInPandas(run, f"doc_id {kind}, fp bigint")
+    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
+    return freed_id(ins.mapInPandas(run, f"doc_id {id_kind(docs, id_col)}, fp bigint"), docs, id_col)
 
 
 def _field(start: int, size: int) -> Column:
