@@ -30,7 +30,8 @@ OPEN = 32
 SLACK = 48
 #: Left-over windows that one task merges.
 MERGED_TOGETHER = 50_000
-MEMO = 300_000
+#: Stretches remembered in each of two generations.
+MEMO = 600_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -75,12 +76,15 @@ class WordTokenizer:
                 got = self._piece(part)
             else:
                 known = self._young.get
-                got = tuple(chain.from_iterable(known(p) or self._piece(p) for p in self._find(part)))
+                got = tuple(chain.from_iterable(known(p) or self._keep(p, self._piece(p)) for p in self._find(part)))
+        return self._keep(part, got)
+
+    def _keep(self, part: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self._young) >= MEMO:
             self._old, self._young = self._young, {}
         if len(part) <= 64:
-            self._young[part] = got
-        return got
+            self._young[part] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if self._odd(text):

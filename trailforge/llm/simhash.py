@@ -141,7 +141,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = near_duplicates(docs, id_col, text_col)
     keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id").distinct()
     at = docs[id_col].eqNullSafe(keep["component_id"])
-    return docs.join(keep, at, "left_semi")
+    return docs.join(keep.hint("merge"), at, "left_semi")  # the ids grow with the documents: sorted at every size
 
 
 def query(spark, sf_dir: str) -> DataFrame:
