@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -26,6 +27,10 @@ from .common import freed_id, held_id, id_kind, split_frames, whole_text
 #: Entries of each generation of a worker's memories (results don't depend on it).
 MEMO = 150_000
 
+# Letters and numbers assigned after Unicode 16.0, the version of the tiktoken library's patterns.
+_LATER = "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EEE 11B0A 11DB0-11DF1 1246F 12475-1247F 12550-12686 16EA0-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DFFF 1E6C0-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-3FC3F"
+_later = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in _LATER.split()) + "]")
+
 
 class Memo:
     """A bounded memory of two generations: what is used again moves to the younger one."""
@@ -57,7 +62,7 @@ class BacktrackBPE:
         self.ranks = ranks
         self.vocab = {r: b for b, r in ranks.items()}
         self.digits = {r: str(r) for r in self.vocab}
-        self.find = regex.compile(pattern).findall
+        self._pattern = regex.compile(pattern)
         self._loose = regex.compile(r"\s (?=.)|\s\Z", regex.DOTALL).search
         self._pieces, self._matches = Memo(self._piece), Memo(self._match)
         self._compatible: dict[tuple[int, int], bool] = {}
@@ -160,6 +165,12 @@ class BacktrackBPE:
                 last = out[-1][0] if out else -1
         return [t[0] for t in out]
 
+    def find(self, text: str) -> list[str]:
+        """The matches of the pattern; what ``_LATER`` lists is read as an unassigned character."""
+        if text.isascii() or not _later.search(text):
+            return self._pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self._pattern.finditer(_later.sub("\U0010ffff", text))]
+
     def _match(self, match: str) -> tuple[int, ...]:
         return tuple(self.encode_bytes(match.encode("utf-8")))
 

@@ -72,7 +72,9 @@ class WordTokenizer:
     def _make(self, part: str) -> tuple[int, ...]:
         got = self._old.get(part)
         if got is None:
-            if part.isalpha():
+            if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                got = tuple(self._whole.encode(part, add_special_tokens=False).ids)  # assigned in other versions of Unicode, perhaps
+            elif part.isalpha():
                 got = self._piece(part)
             else:
                 known = self._young.get
