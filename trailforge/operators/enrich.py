@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .. import columns as C
 from ..core import Transformer
@@ -69,10 +70,8 @@ class Addresses(Transformer):
 
     def build(self, df: DataFrame) -> DataFrame:
         pattern, lat, lon, prefix, condition, zoom, get = self.pattern, self.lat, self.lon, self.prefix, self.condition, self.zoom, self.fetcher
-        schema = df.schema
-        for f in C.ADDRESS_FIELDS:
-            if prefix + f not in df.columns:
-                schema = schema.add(prefix + f, "string")
+        new = [prefix + f for f in C.ADDRESS_FIELDS if prefix + f not in df.columns]
+        schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in new)])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known: dict[str, dict] = {}
@@ -114,7 +113,7 @@ class Routes(Transformer):
 
     def build(self, df: DataFrame) -> DataFrame:
         pattern, trail, condition, get = self.pattern, self.trail, self.condition, self.fetcher
-        schema = df.schema.add("routing_trail", "string").add("routing_distance_m", "double").add("routing_duration_s", "long")
+        schema = T.StructType(list(df.schema.fields)).add("routing_trail", "string").add("routing_distance_m", "double").add("routing_duration_s", "long")
 
         def route(url: str) -> tuple | None:
             try:

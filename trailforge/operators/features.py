@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import columns as C
 from ..core import Transformer, process, require
@@ -142,7 +143,7 @@ class Geohashes(Transformer):
 
     def build(self, df: DataFrame) -> DataFrame:
         precision = self.precision
-        return df.withColumn(self.target, wkt.column(lambda t: wkt.geohashes(t, precision), "array<string>")(F.col(self.trail)))
+        return df.withColumn(self.target, wkt.column(lambda t: wkt.geohashes(t, precision), T.ArrayType(T.StringType()))(F.col(self.trail)))
 
 
 class SimplifiedGeometry(Transformer):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import columns as C
 from ..core import Transformer
@@ -76,7 +77,7 @@ class Missions(Transformer):
                     distances.append(d)
                 yield pdf.assign(__mission=numbers, __away=distances)
 
-        schema = df.schema.add("__mission", "long").add("__away", "double")
+        schema = T.StructType(list(df.schema.fields)).add("__mission", "long").add("__away", "double")
         folded = df.repartition(oid).sortWithinPartitions(oid, C.START, C.END).mapInPandas(fold, schema)
         at = F.struct(C.START, C.END)
         m = C.MISSION

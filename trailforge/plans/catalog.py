@@ -13,6 +13,7 @@ from ..functions import wkt
 from ..model import DataModel, HmmModel, period
 from ..operators import features, fragments, hmm, missions, outliers, segments
 from ..sources import io
+from ..streaming import runs as stream_runs
 from .points import MODEL, RUNS_SQL, flow, points, runs, with_fragments, with_points
 
 FLAGSHIP = "flow_fragments"
@@ -216,6 +217,13 @@ def drop_outliers(spark, d):
     return process(_flagged(spark, d), outliers.WithoutOutliers("outlier")).select(*_PTS, "value")
 
 
+@_query(with_points(f"""SELECT id, min({T}) AS {C.START}, max({T}) AS {C.END}, count(*) AS n FROM (
+  SELECT *, sum(b) OVER (PARTITION BY id ORDER BY {T} ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, CASE WHEN {T} - lag({T}) OVER (PARTITION BY id ORDER BY {T}) <= 43200 THEN 0 ELSE 1 END AS b FROM points)) GROUP BY id, run"""))
+def stream_gap_runs(spark, d):
+    return stream_runs.gap_runs(points(spark, d))
+
+
 _RAW = DataModel("oid", "at", "y", "x", "yyyy-MM-dd HH:mm:ssXXX")
 
 
