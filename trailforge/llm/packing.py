@@ -31,7 +31,7 @@ SLACK = 48
 #: Left-over windows that one task merges.
 MERGED_TOGETHER = 50_000
 #: Stretches remembered in each of two generations.
-MEMO = 600_000
+MEMO = 300_000
 
 
 def _byte_letters() -> dict[int, int]:
