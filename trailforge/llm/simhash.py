@@ -39,20 +39,26 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
 
 
-def text_fingerprint(text: str, width: int = 3) -> int:
-    """The SimHash of a text's word shingles as an unsigned integer; no words: 0."""
+def shingle_hashes(text: str, width: int) -> list[int]:
+    """Hashes of a text's word shingles in order; a text of at most ``width`` words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        first, last = (end - size)[: 1 - width].tolist(), end[width - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    first, last = (end - size)[: 1 - width].tolist(), end[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)]
+
+
+def text_fingerprint(text: str, width: int = 3) -> int:
+    """The SimHash of a text's word shingles as an unsigned integer; no words: 0."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     n = len(hashes)
     lanes = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
     if n < 64:
@@ -136,14 +142,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose component has a smaller id; rows that repeat an id stay or go together."""
-    ids = near_duplicates(docs, id_col, text_col)
+def heads_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` whose id is their component's in ``ids``."""
     keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id").distinct()
     at = docs[id_col].eqNullSafe(keep["component_id"])
     return docs.join(keep.hint("merge"), at, "left_semi")  # the ids grow with the documents: sorted at every size
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose component has a smaller id; rows that repeat an id stay or go together."""
+    return heads_of(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: fingerprint and component of every document."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
