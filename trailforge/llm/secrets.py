@@ -24,11 +24,11 @@ from .common import whole_text
 #: Kinds of candidates: a pattern whose first group is the candidate.  None backtracks more than linearly.
 PATTERNS = (
     ("aws_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
-    ("github_token", r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,255})(?![A-Za-z0-9_])"),
-    ("slack_token", r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,250})"),
-    ("jwt", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})"),
+    ("github_token", r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{36,}+)(?![A-Za-z0-9_])"),
+    ("slack_token", r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,}+)"),
+    ("jwt", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"),
     ("private_key", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)"),
-    ("assigned", r"(?i)(?<![a-z0-9])(?:[a-z0-9]{0,20}[_-]){0,3}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}(?:=|:|:=|=>)[ \t]{0,4}[\"']?([^\s\"'<>,;]{6,300})"),
+    ("assigned", r"(?i)(?<![a-z0-9])(?:[a-z0-9]{0,20}[_-]){0,3}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,4}(?:=|:|:=|=>)[ \t]{0,4}[\"']?([^\s\"'<>,;]{6,}+)"),
 )
 #: Words that speak for prose or a placeholder rather than a secret.
 DICTIONARY = ("password", "passwd", "secret", "token", "example", "sample", "dummy", "test", "your", "here", "change", "placeholder", "default", "none", "null", "true", "false", "user", "admin", "config", "value", "string", "xxxx", "todo", "required", "optional", "the", "and", "for", "this", "that", "with", "from", "letter", "word", "please", "enter", "forgot", "reset", "login", "account", "name", "must", "have", "contain", "characters", "env", "process", "get", "field", "input", "type", "key")
