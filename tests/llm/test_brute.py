@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -28,10 +29,12 @@ def texts(spark):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+_plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def reference():
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _plain
 
 
 # 2 -------------------------------------------------------------------------------------------
@@ -76,13 +79,20 @@ def test_packer_places_everything(lengths, windows, slack):
     assert len(still) <= windows and all(4096 - slack <= n <= 4096 for w, n in held.items() if w not in still)
 
 
-@given(st.text(max_size=60))
-@settings(max_examples=200, deadline=None)
+_words = None
+
+
+@given(st.text(max_size=60) | st.text("aZéÉİK'sS.1|<>_ \n\u00a0\u0085\u2003\u3000\u0301\u0331\x1c", max_size=60))
+@settings(max_examples=600, deadline=None)
+@example("it's<|endoftext|>so H\u0331 I\u0307 \u0130x a\u00a0 b")
 @example(":\U0003d000a\u0558b \U00010d50\U00011de31")
 def test_word_tokenizer(text):
-    tok = packing.tokenizer(WORDS)
+    global _words
+    _words = _words or packing.WordTokenizer(WORDS)
     text = text.encode("utf-8", "ignore").decode()
-    assert tok.encode(text) == tok._whole.encode(text, add_special_tokens=False).ids
+    ids, bounds = _words.encode(pa.array([text, None, text + "A", text]))
+    ids = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert ids == [_words.whole.encode(x, add_special_tokens=False).ids for x in (text, "", text + "A", text)]
 
 
 # 3 -------------------------------------------------------------------------------------------
@@ -151,12 +161,15 @@ def test_byte_bpe_query(spark, texts, reference):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-@given(st.text(max_size=80) | st.text("ab \n\té漢_1'", max_size=80))
-@settings(max_examples=300, deadline=None)
-def test_byte_bpe_round_trip(text):
+@given(st.text(max_size=80), st.text("ab \n\té漢_1'\u00a0\u0085\u2003\u3000\x1c", max_size=80))
+@settings(max_examples=600, deadline=None)
+def test_byte_bpe_round_trip(first, second):
     bpe = byte_bpe.loaded(RANKS, public_tokenizers.PATTERN)
-    text = text.encode("utf-8", "ignore").decode()
-    assert bpe.decode(bpe.encode(text)) == text.encode()
+    texts = [x.encode("utf-8", "ignore").decode() for x in (first, second, "", first + second)]
+    ids, bounds = bpe.encode_all(pa.array(texts))
+    ids = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert [bpe.decode(x) for x in ids] == [x.encode() for x in texts]
+    assert ids == [_plain.encode_ordinary(x) for x in texts]
 
 
 def test_byte_bpe_exact_merges(reference):

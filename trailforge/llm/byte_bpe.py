@@ -17,12 +17,14 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed_id, held_id, id_kind, split_frames, whole_text
+from .common import resident, row_slices, sql_type, whole_text
+from .stretches import Remembered, gather, stretches, utf8
 
 #: Entries of each generation of a worker's memories (results don't depend on it).
 MEMO = 150_000
@@ -61,10 +63,9 @@ class BacktrackBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.vocab = {r: b for b, r in ranks.items()}
-        self.digits = {r: str(r) for r in self.vocab}
+        self._bytes, self._digits = _table(self.vocab), _table({r: b"%d," % r for r in self.vocab})
         self._pattern = regex.compile(pattern)
-        self._loose = regex.compile(r"\s (?=.)|\s\Z", regex.DOTALL).search
-        self._pieces, self._matches = Memo(self._piece), Memo(self._match)
+        self._stretches, self._matches = Remembered(self._make), Memo(self._match)
         self._compatible: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
@@ -174,66 +175,86 @@ class BacktrackBPE:
     def _match(self, match: str) -> tuple[int, ...]:
         return tuple(self.encode_bytes(match.encode("utf-8")))
 
-    def _piece(self, part: str) -> tuple[int, ...]:
+    def _piece(self, part: str) -> list[int] | tuple[int, ...]:
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha() and max(word) < "\u0250":
+            return self.encode_bytes(part.encode())  # one match
         found = self.find(part)
         return self._matches(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self._known, found)))
 
     def _known(self, match: str) -> tuple[int, ...]:
         return self._matches(match) if len(match) < 64 else self._match(match)
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text; special tokens are ordinary text.
+    def _make(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._piece(x.decode("utf-8", "surrogatepass")) for x in new]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and where each begins (and the last ends); special tokens are ordinary text.
 
-        No match of the pattern crosses a place before a space that stands
-        between two non-spaces, so such parts are encoded (and remembered) one
-        by one; texts with other white space before a space are matched whole.
+        No match of the pattern crosses the place before a run of white space or
+        that between a letter and a sign, and what stands before doesn't change
+        the matches after it, so stretches are encoded one by one.
         """
-        if not text:
-            return []
-        if self._loose(text):
-            return list(chain.from_iterable(map(self._known, self.find(text))))
-        first, *rest = text.split(" ")
-        out = list(self._piece(first)) if first else []
-        recent, known, make = self._pieces.young, self._pieces, self._piece
-        for part in rest:
-            part = " " + part
-            if len(part) > 64:
-                out += make(part)
-                continue
-            got = recent.get(part)
-            if got is None:
-                got = known(part)
-                recent = known.young
-            out += got
-        return out
+        parts, first = stretches(*utf8(texts))
+        ids, size = self._stretches(parts)
+        return ids, np.concatenate([[0], np.cumsum(size)])[first]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all(pa.array([text]))[0].tolist()
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's begin (and the last's end); an unknown id is a ``KeyError``."""
+        return self._written(self._bytes, ids)
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+        return self.decode_all(np.fromiter(ids, np.int64))[0].tobytes()
+
+    def digits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in decimals, each followed by a comma, and where each begins (and the last ends)."""
+        return self._written(self._digits, ids)
+
+    def _written(self, table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pool, ends = table
+        known = (ids >= 0) & (ids < len(ends) - 1)
+        if not known.all() or (ends[ids] == ends[ids + 1]).any():
+            raise KeyError(next(i for i in ids.tolist() if i not in self.vocab))
+        size = ends[ids + 1] - ends[ids]
+        return gather(pool, ends[ids], size), np.concatenate([[0], np.cumsum(size)])
 
 
-_LOADED: dict = {}
+def _table(entries: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries joined by number, and where each begins (and the last ends)."""
+    every = [entries.get(i, b"") for i in range(max(entries, default=-1) + 1)]
+    return np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, every), np.int64, len(every)))])
 
 
 def loaded(ranks_path: str, pattern: str) -> BacktrackBPE:
     """The tokenizer of a file, once a worker."""
-    if (ranks_path, pattern) not in _LOADED:
+
+    def load() -> BacktrackBPE:
         with open(ranks_path, "rb") as f:
-            _LOADED[ranks_path, pattern] = BacktrackBPE(parse_ranks(f), pattern)
-    return _LOADED[ranks_path, pattern]
+            return BacktrackBPE(parse_ranks(f), pattern)
+
+    return resident(("ranks", ranks_path, pattern), load)
 
 
-def map_texts(docs: DataFrame, row: Callable[[BacktrackBPE, str], dict], schema: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document of what ``row`` makes of the tokenizer and the whole text (null: empty)."""
+def map_texts(docs: DataFrame, make: Callable[[BacktrackBPE, pa.Array], list[pa.Array]], schema: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: its id, and the columns of ``schema``, which ``make`` gives for the tokenizer and an array of whole texts (null: empty)."""
+    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
-        for pdf in split_frames(batches):
-            out = pd.DataFrame([row(bpe, t) for t in pdf["text"]])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+        for batch in row_slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *make(bpe, batch["text"])], names=names)
+
+    ins = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    return ins.mapInArrow(run, f"doc_id {sql_type(docs, id_col)}, {schema}")
 
-    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
-    return freed_id(ins.mapInPandas(run, f"doc_id {id_kind(docs, id_col)}, {schema}"), docs, id_col)
+
+def _lists(bpe: BacktrackBPE, texts: pa.Array) -> list[pa.Array]:
+    ids, bounds = bpe.encode_all(texts)
+    return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,25 +263,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     A null text counts as empty, and an empty one has no ids; rows that repeat
     are encoded each; an empty table gives none; other columns are not read.
     """
-    return map_texts(docs, lambda bpe, t: {"ids": bpe.encode(t)}, "ids array<int>", ranks_path, pattern, id_col, text_col)
+    return map_texts(docs, _lists, "ids array<int>", ranks_path, pattern, id_col, text_col)
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, data)``: the bytes of every list of ids (null: none)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(ranks_path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "data": [bpe.decode(() if ids is None else ids.tolist()) for ids in pdf["ids"]]})
-
-    ins = tokens.select(held_id(tokens, id_col), F.col(ids_col).alias("ids"))
-    return freed_id(ins.mapInPandas(run, f"doc_id {id_kind(tokens, id_col)}, data binary"), tokens, id_col)
+    """``(doc_id, data)``: the bytes of every list of ids (null: none).
 
+    An id that the table doesn't hold, or a null in a list, is an error.
+    """
 
-def _digests(bpe: BacktrackBPE, text: str) -> dict:
-    ids = bpe.encode(text)
-    listed = ",".join(map(bpe.digits.__getitem__, ids))
-    return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(bpe.decode(ids)).hexdigest()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(ranks_path, pattern)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([bpe.decode(x or ()) for x in batch["ids"].to_pylist()], pa.binary())], names=["doc_id", "data"])
+
+    ins = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return ins.mapInArrow(run, f"doc_id {sql_type(tokens, id_col)}, data binary")
+
+
+def _digests(bpe: BacktrackBPE, texts: pa.Array) -> list[pa.Array]:
+    ids, bounds = bpe.encode_all(texts)
+    ids = ids.astype(np.int64)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    listed, decoded = [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = ids[a:b]
+        listed.append(sha(bpe.digits(own)[0][:-1].tobytes()))
+        decoded.append(sha(bpe.decode_all(own)[0].tobytes()))
+    return [pa.array(np.diff(bounds)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +19,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one is set here only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where none is named, a temporary one does in local mode; a cluster's
+    executors share the warehouse, so a folder in it is taken there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailforge-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailforge-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     Cuts the lineage: executors that are lost later cost no recomputation of
-    what lies before, and no part of the plan above runs twice.
+    what lies before, and no part of the plan above runs twice.  Tables live as
+    long as the application, whose folder is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    path = f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What a worker holds for ``key``; it holds one thing at a time, as workers outlive the stages that they serve."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 _NO_ID = -(1 << 63)
 
 
@@ -77,3 +105,19 @@ def split_frames(batches: Iterator[pd.DataFrame], text: str = "text", chars: int
         else:
             for _, part in pdf.groupby(group, sort=True):
                 yield part
+
+
+def sql_type(docs: DataFrame, name: str) -> str:
+    return docs.schema[name].dataType.simpleString()
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of about ``size`` bytes of text each, without a copy."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        group = (upto - 1) // size
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)

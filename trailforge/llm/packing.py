@@ -11,27 +11,28 @@ merged by the same rule over all tasks, in groups of bounded size.
 from __future__ import annotations
 
 import bisect
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import freed_id, held_id, id_kind, materialize, split_frames, whole_text
+from .common import materialize, resident, row_slices, sql_type, whole_text
+from .stretches import Remembered, stretches, utf8
 
 WINDOW = 4096
 OPEN = 32
 SLACK = 48
 #: Left-over windows that one task merges.
 MERGED_TOGETHER = 50_000
-#: Stretches remembered in each of two generations.
-MEMO = 300_000
+#: New stretches given to the tokenizer at once.
+MADE_AT_ONCE = 1_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -45,63 +46,43 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class WordTokenizer:
-    """The ids of a lower-casing tokenizer with word ends, remembered by stretch between white space.
+    """The ids of a tokenizer that drops white space, made by stretch.
 
-    White space never lies inside a pre-token and is dropped, so the ids of a
-    text are those of its stretches in order.  Texts that hold a special
-    token's string or a separator that Python's ``split`` takes for white space
-    but the tokenizer doesn't are given to the tokenizer whole.
+    No pre-token crosses white space or the place between a letter and a sign,
+    so the ids of a text are those of its stretches in order.  New stretches of
+    Latin letters alone are one pre-token and go to the model; the others go to
+    the whole tokenizer, as one text of which the words are given.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(path)
-        self._model = self._whole.model
-        self._find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self._young: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
-        special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._odd = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, special)])).search
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of one pre-token: its bytes, each written as the letter that stands for it."""
-        letters = piece.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-        return tuple([t.id for t in self._model.tokenize(letters)])
-
-    def _make(self, part: str) -> tuple[int, ...]:
-        got = self._old.get(part)
-        if got is None:
-            if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
-                got = tuple(self._whole.encode(part, add_special_tokens=False).ids)  # assigned in other versions of Unicode, perhaps
-            elif part.isalpha():
-                got = self._piece(part)
+        self.whole = Tokenizer.from_file(path)
+        self._ids = Remembered(self._make)
+
+    def _make(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int]] = [[]] * len(new)
+        model, others = self.whole.model, []
+        for i, raw in enumerate(new):
+            part = raw.decode("utf-8", "surrogatepass")
+            word = part.lstrip(" \t\n\v\f\r")
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                letters = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+                found[i] = [t.id for t in model.tokenize(letters)]
             else:
-                known = self._young.get
-                got = tuple(chain.from_iterable(known(p) or self._keep(p, self._piece(p)) for p in self._find(part)))
-        return self._keep(part, got)
-
-    def _keep(self, part: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        if len(self._young) >= MEMO:
-            self._old, self._young = self._young, {}
-        if len(part) <= 64:
-            self._young[part] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if self._odd(text):
-            return self._whole.encode(text, add_special_tokens=False).ids
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        out: list[int] = []
-        known = self._young.get
-        for part in text.lower().split():
-            got = known(part)
-            if got is None:
-                got = self._make(part)
-                known = self._young.get
-            out += got
-        return out
+                others.append((i, part))
+        for at in range(0, len(others), MADE_AT_ONCE):
+            places, parts = zip(*others[at : at + MADE_AT_ONCE], strict=True)
+            made = self.whole.encode(parts, is_pretokenized=True, add_special_tokens=False)
+            for i, own in groupby(zip(made.word_ids, made.ids, strict=True), key=itemgetter(0)):
+                found[places[i]] = [x for _, x in own]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), one text after the other, and where each begins (and the last ends)."""
+        parts, first = stretches(*utf8(texts), lower=True)
+        ids, size = self._ids(parts)
+        return ids, np.concatenate([[0], np.cumsum(size)])[first]
 
 
 class Packer:
@@ -145,43 +126,35 @@ class Packer:
         return {window: self.size - room for room, window in self.open}
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, window bigint, offset bigint"
 
 
-PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, window bigint, offset bigint"
+def _pieces(ids: pa.Array, task: int, start, length, crc, total, window, offset) -> pa.RecordBatch:
+    whole = [pa.array(x, pa.int64()) for x in (start, length, crc, total, [task] * len(ids), window, offset)]
+    return pa.RecordBatch.from_arrays([ids, *whole], names=["doc_id", *(x.split()[0] for x in PIECES.split(", "))])
 
 
-def _pack_partition(path: str, end_id: int, size: int, windows: int, slack: int):
-    """A function for ``mapInPandas``: tokenizes and packs one partition; windows open at the end are marked by rows without a length."""
+def _pack_partition(path: str, end_id: int, size: int, windows: int, slack: int, kind: pa.DataType):
+    """A function for ``mapInArrow``: tokenizes and packs one partition; windows open at the end are marked by rows without a length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        tok, packer = tokenizer(path), Packer(size, windows, slack)
-        for pdf in split_frames(batches):
+        tok, packer = resident(("words", path), lambda: WordTokenizer(path)), Packer(size, windows, slack)
+        for batch in row_slices(batches):
+            every, bounds = tok.encode(batch["text"])
             rows, at = [], []
-            for i, text in enumerate(pdf["text"]):
-                ids = tok.encode(text)
-                ids.append(end_id)
-                data = np.array(ids, dtype="<u4")
-                for start, length, window, offset in packer.place(len(ids)):
-                    rows.append((start, length, zlib.crc32(data[start : start + length].tobytes()), len(ids), window, offset))
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                data = np.append(every[a:b], np.uint32(end_id)).astype("<u4")
+                for start, length, window, offset in packer.place(len(data)):
+                    rows.append((start, length, zlib.crc32(data[start : start + length]), len(data), window, offset))
                     at.append(i)
-            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens", "window", "offset"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy()[at])
-            yield out.assign(task=task)
+            yield _pieces(batch["doc_id"].take(pa.array(at, pa.int64())), task, *zip(*rows, strict=True))
         left = packer.fill()
         if left:
-            out = pd.DataFrame({"window": list(left), "offset": list(left.values())})
-            out["doc_id"] = pd.Series([None] * len(left), dtype="object")
-            yield out.assign(start=None, length=None, ids_crc32=None, doc_tokens=None, task=task)
+            none = [None] * len(left)
+            yield _pieces(pa.nulls(len(left), kind), task, none, none, none, none, list(left), list(left.values()))
 
     return run
 
@@ -194,9 +167,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = WIND
     are gapless from 0.  Left-over windows are merged whole, so that the
     fingerprints of their pieces hold.
     """
-    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
-    packed = ins.mapInPandas(_pack_partition(tokenizer_path, end_id, size, windows, slack), f"doc_id {id_kind(docs, id_col)}, {PIECES}")
-    made = materialize(freed_id(packed, docs, id_col), "pieces")
+    ins = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    made = materialize(ins.mapInArrow(_pack_partition(tokenizer_path, end_id, size, windows, slack, kind), f"doc_id {sql_type(docs, id_col)}, {PIECES}"), "pieces")
     left = made.where("length is null").select("task", "window", F.col("offset").alias("fill"))
     count = left.count()
     groups = max(1, -(-count // MERGED_TOGETHER))
