@@ -395,18 +395,27 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and hit > 0.75 and false < 0.1
 
 
-def test_kneser_ney_against_counts(spark):
-    """The hashed tables give what plain dictionaries of the same counts do (no cells collide on so few words)."""
-    from collections import Counter
+@pytest.mark.parametrize("sf", [None, "/root/testdata/sf0.1"])
+def test_kneser_ney_against_counts(spark, sf):
+    """Counts found by hash give what plain dictionaries of the same counts do: on a few words, and on all labelled rows of a larger table."""
+    from collections import Counter, defaultdict
     from math import log
 
-    toxic, fine = ["awful fool awful"], ["lovely fool day"]
-    frame = spark.createDataFrame([(t, 0) for t in toxic] + [(t, 1) for t in fine], "text string, side int")
-    tables = toxicity._tables(frame)
-    ratio = toxicity.Ratio(toxicity._fold(tables, ""))
+    frame = spark.createDataFrame([("awful fool awful", 0), ("lovely fool day", 1)], "text string, side int")
+    if sf:
+        docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+        frame = toxicity._learned(docs, labels.where(~toxicity.held_out()))
+    toxic, fine = ([r.text for r in frame.where(f"side % 2 = {k}").collect()] for k in (0, 1))
+    ratio = toxicity.Ratio(toxicity._model(toxicity._counts(frame)))
     n = toxicity.ORDER
     pad = lambda w: "\x02" * (n - 1) + w + "\x03"
-    top = [Counter(p[i : i + n] for t in side for w in t.split() for p in [pad(w)] for i in range(len(p) - n + 1)) for side in (toxic, fine)]
+    words = [Counter(w for t in side for w in toxicity.words_of(t)) for side in (toxic, fine)]
+    top = [Counter() for _ in words]
+    for own, side in zip(top, words, strict=True):
+        for w, c in side.items():
+            p = pad(w)
+            for i in range(len(p) - n + 1):
+                own[p[i : i + n]] += c
     levels = [set(top[0]) | set(top[1])]
     lower = {}
     for k in range(n - 1, 0, -1):
@@ -414,15 +423,23 @@ def test_kneser_ney_against_counts(spark):
         lower[k] = count
         levels.append(set(count))
 
+    def by_history(counts):
+        out = defaultdict(dict)
+        for g, c in counts.items():
+            out[g[:-1]][g] = c
+        return out
+
+    lower, tops = {k: by_history(c) for k, c in lower.items()}, [by_history(c) for c in top]
+
     def chance(gram):
         p = toxicity.FLOOR
         for k in range(1, n):
-            own = {g: c for g, c in lower[k].items() if g[:-1] == gram[n - k : -1]}
+            own = lower[k].get(gram[n - k : -1], {})
             if total := sum(own.values()):
                 p = max(own.get(gram[n - k :], 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(own) / total * p
         out = []
-        for side in top:
-            own = {g: c for g, c in side.items() if g[:-1] == gram[:-1]}
+        for side in tops:
+            own = side.get(gram[:-1], {})
             q = p
             if total := sum(own.values()):
                 c = own.get(gram, 0)
@@ -431,7 +448,38 @@ def test_kneser_ney_against_counts(spark):
             out.append(q)
         return log(out[0] / out[1])
 
-    for word in ("awful", "fool", "day", "awfully", "xyz"):
+    for word in ("awful", "fool", "day", "awfully", "xyz", *list(words[0])[:300], *list(words[1])[:300]):
         p = pad(word)
         want = sum(chance(p[i : i + n]) for i in range(len(p) - n + 1))
         assert abs(float(ratio.words([word])[0]) - max(-toxicity.MOST, min(toxicity.MOST, want))) < 1e-4, word
+
+
+def test_toxicity_features(spark):
+    """The ratios of texts, batch by batch, against those of each text's words alone."""
+    frame = spark.createDataFrame([("awful fool awful", 0), ("lovely fool day", 1)], "text string, side int")
+    ratio = toxicity.Ratio(toxicity._model(toxicity._counts(frame)))
+    r = random.Random(6)
+    texts = [None, "", "1 2", "fool", *(" ".join(r.choice(["awful", "fool,", "day", "lovely", "x1y"]) for _ in range(n)) for n in (2, 5, 6, 7, 12, 13, 40))]
+    for text, got in zip(texts, ratio.texts(pa.array(texts)), strict=True):
+        words = toxicity.words_of(text or "")
+        v = ratio.words(words).tolist() if words else []
+        n = len(v)
+        want = [0.0] * len(toxicity.FEATURES)
+        if n:
+            want = [sum(v) / n, sum(max(x, 0) for x in v) / n]
+            want += [max(sum(v[i : i + s]) for i in range(max(1, n - s + 1))) / s for s in toxicity.SPANS]
+            want += [sum(sorted(v)[::-1][:k]) / k for k in toxicity.HIGHEST] + [np.log1p(n)]
+        assert np.allclose(got, want, atol=1e-8), text
+
+
+def test_pruned_grams(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 3)
+    rows = spark.createDataFrame([(g, c, 0, 0, 0) for g, c in (("a", 1), ("b", 2), ("c", 2), ("d", 5), ("e", 9))], "gram string, t0 long, o0 long, t1 long, o1 long")
+    assert {r.gram for r in toxicity._kept(rows).collect()} == {"d", "e"}
+
+
+def test_toxicity_of_one_class_without_documents(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(1000 + i, 1) for i in range(20)], "doc_id long, toxic int")
+    scores = {r.score for r in toxicity.score(docs, labels).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 1

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,3 +122,18 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+
+
+def with_columns(docs: DataFrame, text_col: str, new: dict[str, str], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``docs``, all columns, with those of ``new`` (name: type), which ``make`` gives for slices of the texts; older ones of these names go."""
+    held = docs.drop(*(x for x in new if x != text_col))
+    added = [x for x in new if x != text_col]
+    schema = T.StructType([*held.schema.fields, *(T.StructField(x, T._parse_datatype_string(new[x])) for x in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, text_col):
+            made = dict(zip(new, make(batch[text_col]), strict=True))
+            columns = [made.get(x, c) if x == text_col else c for x, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *(made[x] for x in added)], names=[*batch.schema.names, *added])
+
+    return held.mapInArrow(run, schema)

@@ -58,20 +58,20 @@ def stretches(data: np.ndarray, places: np.ndarray, lower: bool = False) -> tupl
 
 
 class Remembered:
-    """Ids of byte strings, kept in one array.
+    """Ids (or other numbers) of byte strings, kept in one array.
 
     ``make`` gives the ids of a list of new strings, joined, and the size of
     each.  Once there are ``most`` strings or ``ids`` ids, only those of the
     batch at hand stay.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, ids: int = 4_000_000) -> None:
-        self.make, self.most, self.ids = make, most, ids
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, ids: int = 4_000_000, kind: type = np.uint32) -> None:
+        self.make, self.most, self.ids, self.kind = make, most, ids, kind
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.start, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _add(self, keys: list[bytes], pool: np.ndarray, size: np.ndarray) -> None:
         end = len(self.pool) + np.cumsum(size)
