@@ -15,6 +15,7 @@ import tiktoken
 import xxhash
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trailforge.llm import byte_bpe, chat, line_dedup, multiset_hash, packing, pii, secrets, simhash, topk, toxicity
@@ -189,8 +190,6 @@ def test_secret_forest(spark):
     held = secrets.labelled_findings(400, seed=99)
     rows = [(f.kind, f.value, f.before, f.after, f.path, float(f.secret)) for f in held]
     frame = spark.createDataFrame(rows, "kind string, value string, before string, after string, path string, y double")
-    from pyspark.sql import functions as F
-
     parts = frame.select(*(c.cast("double").alias(n) for n, c in secrets.features(*map(F.col, ("value", "before", "after", "path", "kind"))).items()), "y")
     got = np.array(parts.withColumn("vote", F.expr(forest.expression())).collect(), float)
     assert np.allclose(forest.predict(got[:, :-2]), got[:, -1])
@@ -293,7 +292,7 @@ def test_multiset_query(spark, texts):
 @given(st.lists(st.text(st.characters(exclude_characters="\n", exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=8), st.randoms())
 @settings(max_examples=100, deadline=None)
 def test_multiset_algebra(paragraphs, r):
-    F = multiset_hash.Fingerprint
+    F = multiset_hash.Fingerprint  # noqa: N806
     whole = F.of("\n".join(paragraphs))
     if paragraphs == [""]:
         return
@@ -323,23 +322,38 @@ def _gone(docs: dict[int, str], least: int) -> dict[int, set[int]]:
     return out
 
 
-def test_line_runs_against_all_runs(spark):
+@pytest.mark.parametrize("least, letters", [(10, "abcdefgh"), (3, "ab"), (10, "aé漢ñ")])
+def test_line_runs_against_all_runs(spark, least, letters):
     r = random.Random(8)
-    pool = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 3, 4, 6, 11)]
+    pool = [" ".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 3, 3, 4, 6, 11)]
     docs = {}
     for d in range(60):
         got = [r.choice(pool) for _ in range(r.randint(0, 14))]
         if d > 3 and r.random() < 0.5:
             other = docs[r.randrange(d)].split("\n")
             got[r.randint(0, len(got)) :] = other[: r.randint(0, len(other))]
-        docs[d] = "\n".join(x if r.random() < 0.8 else f"  {x} \n" for x in got)
-    want = _gone(docs, 10)
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for row in line_dedup.dedup_lines(frame, min_words=10).collect():
+        docs[d] = "\n".join(x if r.random() < 0.8 else r.choice(["  {} \n", "\u2003{}\t\u00a0", "\u00a0\n{}\u3000"]).format(x.replace(" ", r.choice(["  ", "\u2009"]))) for x in got)
+    _compare_lines(spark, docs, least)
+
+
+def test_long_line_runs(spark):
+    """Runs of over 64 short lines, and a document that repeats itself."""
+    r = random.Random(3)
+    run = [f"{r.randrange(50)}" for _ in range(150)]
+    docs = {1: "\n".join(run), 2: "\n".join(["x", *run[20:140], "y"]), 3: "\n".join([*run[:60], "z", *run[70:]]), 4: "\n".join(["a b"] * 200), 5: "\n".join(run[5:40])}
+    _compare_lines(spark, docs, 50)
+
+
+def _compare_lines(spark, docs, least):
+    want = _gone(docs, least)
+    frame = spark.createDataFrame([(d, t, str(d)) for d, t in docs.items()], "doc_id long, text string, name string").withColumn("name", F.lpad("name", 3, "0"))
+    for row in line_dedup.dedup_lines(frame, min_words=least).collect():
         solid = [x for x in docs[row.doc_id].split("\n") if x.strip()]
         assert row.n_lines == len(solid) and row.n_removed == len(want[row.doc_id]), row.doc_id
         kept = [x for x in row.text.split("\n") if x.strip()]
         assert kept == [x for i, x in enumerate(solid) if i not in want[row.doc_id]]
+    by_text = line_dedup.dedup_lines(frame, id_col="name", min_words=least).collect()
+    assert {r.doc_id: r.n_removed for r in by_text} == {d: len(x) for d, x in want.items()}
 
 
 # 9, 1 ----------------------------------------------------------------------------------------
