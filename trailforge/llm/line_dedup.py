@@ -25,6 +25,8 @@ than a word, deeper ranks name no shortest prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ def _plain(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(did, rid, seq, name, words)`` of each line that isn't blank; ``rid`` tells apart rows that repeat an id."""
     text = whole_text(text_col)
@@ -144,20 +151,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.struct(*names).alias("row"), _order_key(docs, id_col).alias("did"), F.xxhash64(whole_text(text_col)).alias("rid"))
     joined = keyed.join(gone.select("did", "rid", F.array_sort("gone").alias("gone")), ["did", "rid"], "left")
     text = F.col("row")[text_col]
-    lines = F.split(text, "\n")
     joined = joined.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("n", F.size("gone"))
-    solid = F.filter(F.transform(lines, lambda x, i: F.when(_plain(x) != "", i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("solid", F.when(F.col("n") > 0, solid))
-    places = F.transform("gone", lambda s: F.get("solid", s))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i))
+
+    def without(lines: Column, solid: Column) -> Column:
+        places = F.transform("gone", lambda s: F.get(solid, s))
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n")
+
+    solid = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(_plain(x) != "", i)), lambda i: i.isNotNull())
+    left = _bound(F.split(text, "\n"), lambda lines: _bound(solid(lines), lambda places: without(lines, places)))
     # a run starts where the place before isn't gone, and ends where the next isn't
     starts = F.array_except("gone", F.transform("gone", lambda s: s + 1))
     ends = F.array_except("gone", F.transform("gone", lambda s: s - 1))
     runs = F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat(a.cast("string"), F.lit("-"), b.cast("string"))), ",")
-    filled = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"(?U)\S"))))
+    filled = F.regexp_count(text, F.lit(r"(?U)\S[^\n]*"))
     return joined.select(
-        *(F.when(F.col("n") > 0, F.array_join(left, "\n")).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names),
-        F.greatest(F.coalesce(filled, F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines"),
+        *(F.when(F.col("n") > 0, left).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names),
+        F.coalesce(filled, F.lit(0)).cast("bigint").alias("n_lines"),
         F.col("n").cast("bigint").alias("n_removed"),
         F.when(F.col("n") > 0, runs).otherwise("").alias("removed_runs"),
     )
