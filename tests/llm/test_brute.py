@@ -252,6 +252,32 @@ def test_tagger_on_held_out_spans(spark):
     assert (path == ys)[real].mean() > 0.97
 
 
+def test_spans_run_through_windows():
+    """Spans of any length, from windows that each see a part of them."""
+    r = random.Random(2)
+    for size in (30, 96, 97, 150, 400, 1000):
+        y, at = np.zeros(size, int), 0
+        want = []
+        while at < size - 2:
+            n = min(r.choice([2, 10, 60, 300]), size - at)
+            if r.random() < 0.5:
+                k = r.randrange(4)
+                y[at : at + n] = 2 * k + 2
+                y[at] = 2 * k + 1
+                want.append((at, at + n, pii.KINDS[k]))
+            at += n
+        last = max(0, -(-(size - pii.WINDOW) // pii.HALF))
+        windows = []
+        for s in range(0, last * pii.HALF + 1, pii.HALF):
+            own = np.zeros(pii.WINDOW, int)
+            part = y[s : s + pii.WINDOW]
+            own[: len(part)] = part
+            if own[0] and own[0] % 2 == 0:
+                own[0] -= 1  # a cut span starts at the window's edge
+            windows.append((s, own, np.ones(pii.WINDOW)))
+        assert [(a, b, k) for _, a, b, k in pii._reconciled(size, windows)] == want
+
+
 def test_tagger_gradient():
     tagger, (xs, ys) = pii.Tagger(1), pii.labelled(3, seed=5)
     xs, ys = xs[:12], ys[:12]

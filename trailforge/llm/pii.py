@@ -3,8 +3,10 @@
 The tagger reads windows of ``WINDOW`` characters that overlap by half and lie
 at fixed places of the whole text.  Every kind of span it knows holds a digit or
 an at sign, so only windows with one are computed: the others can't hold a
-span.  Spans that windows agree or differ on are reconciled over the whole text:
-surest first, a span is taken if it meets no base span and none taken before.
+span.  Windows are reconciled over the whole text: each place has the label of
+the window in which it lies deepest, so that a span runs on from window to
+window; then, surest first, a span is taken if it meets no base span and none
+taken before.
 It is trained in numpy, in one task, from labelled spans that are generated
 from a seed (``labelled``); nothing of the corpus goes into it.
 """
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed_id, held_id, id_kind, split_frames, whole_text
+from .common import row_slices, sql_type, whole_text, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -353,7 +356,7 @@ def _windows(text: str) -> list[int]:
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """The spans that the tagger adds to each text's base spans."""
     places = [(i, s) for i, t in enumerate(texts) for s in _windows(t)]
-    found: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
+    paths: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for at in range(0, len(places), 512):
         part = places[at : at + 512]
         ids = np.full((WINDOW, len(part)), _PAD)
@@ -362,38 +365,50 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> lis
             ids[: len(got), j] = got
         e = tagger.scores(ids)
         path = tagger.viterbi(e)
-        hit = np.flatnonzero(path.any(0))
-        if not len(hit):
+        sure = np.take_along_axis(tagger.marginals(e), path[:, :, None], 2)[:, :, 0]
+        for j, (i, s) in enumerate(part):
+            paths.setdefault(i, []).append((s, path[:, j], sure[:, j]))
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, windows in paths.items():
+        if not any(path.any() for _, path, _ in windows):
             continue
-        sure = tagger.marginals(e[:, hit])
-        for col, j in enumerate(hit.tolist()):
-            i, s = part[j]
-            y, n = path[:, j].tolist(), min(WINDOW, len(texts[i]) - s)
-            a = 0
-            while a < n:
-                if y[a] % 2 == 0:
-                    a += 1
-                    continue
-                b = a + 1
-                while b < n and y[b] == y[a] + 1:
-                    b += 1
-                cut = (a == 0 and s > 0) or (b == n and s + n < len(texts[i]))
-                p = float(sure[np.arange(a, b), col, y[a:b]].mean())
-                if not cut and p >= SURE and _ANCHOR.search(texts[i], s + a, s + b):
-                    found[i].append((-p, s + a, s + b, KINDS[y[a] // 2]))
-                a = b
-    out = []
-    for spans, fixed in zip(found, base, strict=True):
-        taken = [(a, b) for a, b, _ in fixed]
-        new: list[Span] = []
-        for _, a, b, kind in sorted(spans):
+        found = sorted((-p, a, b, kind) for p, a, b, kind in _reconciled(len(texts[i]), windows) if p >= SURE and _ANCHOR.search(texts[i], a, b))
+        taken = [(a, b) for a, b, _ in base[i]]
+        for _, a, b, kind in found:
             if all(b <= c or d <= a for c, d in taken):
                 taken.append((a, b))
-                new.append((a, b, kind))
-        out.append(new)
+                out[i].append((a, b, kind))
     return out
 
 
+def _reconciled(size: int, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[float, int, int, str]]:
+    """Spans with their mean posterior over a whole text: each place has the label of the window in which it lies farthest from an edge.
+
+    A span that a window cuts goes on in the next one, however many it runs through.
+    """
+    held: dict[int, tuple[int, int, float]] = {}
+    for s, path, sure in windows:
+        n = min(WINDOW, size - s)
+        left = np.arange(n) if s else np.full(n, WINDOW)
+        right = np.arange(n)[::-1] if s + n < size else np.full(n, WINDOW)
+        for t, deep, y, p in zip(range(n), np.minimum(left, right).tolist(), path.tolist(), sure.tolist(), strict=False):
+            if s + t not in held or held[s + t][0] < deep:
+                held[s + t] = (deep, y, p)
+    now: list[float] = []
+    start = before = last = -1
+    for at in [*sorted(held), size + 1]:
+        _, y, p = held.get(at, (0, 0, 0.0))
+        goes_on = y and y % 2 == 0 and now and at == before + 1 and (last + 1) // 2 == y // 2
+        if now and not goes_on:
+            yield sum(now) / len(now), start, before + 1, KINDS[(last - 1) // 2]
+            now = []
+        if y:
+            if not now:
+                start = at
+            now.append(p)
+        before, last = at, y
+
+
 def find_spans(tagger: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans in order, of each text."""
     base = [base_spans(t) for t in texts]
@@ -424,33 +439,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each; an empty table gives no rows; other columns are not read.
     """
     tagger = trained(docs.sparkSession)
+    schema = f"doc_id {sql_type(docs, id_col)}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in split_frames(batches):
-            rows = []
-            for base, spans in find_spans(tagger, pdf["text"].tolist()):
-                n = [sum(k == kind for _, _, k in base) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            found = find_spans(tagger, batch["text"].to_pylist())
+            counts = [pa.array([sum(k == kind for _, _, k in base) for base, _ in found], pa.int64()) for kind in KINDS]
+            digests = pa.array([hashlib.sha256(_listed(base).encode()).hexdigest() for base, _ in found], pa.string())
+            listed = pa.array([_listed(spans) for _, spans in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *counts, digests, listed], names=[x.split()[0] for x in schema.split(", ")])
 
-    schema = f"doc_id {id_kind(docs, id_col)}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, spans string"
-    ins = docs.select(held_id(docs, id_col), whole_text(text_col).alias("text"))
-    return freed_id(ins.mapInPandas(run, schema), docs, id_col)
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with every span in the text replaced by a mark of its kind; null texts stay null."""
     tagger = trained(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        held = texts.fillna("").tolist()
-        out = [redact_text(t, s) for t, (_, s) in zip(held, find_spans(tagger, held), strict=True)]
-        return pd.Series(out).where(texts.notna().to_numpy(), None)
+    def clean(texts: pa.Array) -> list[pa.Array]:
+        held = texts.to_pylist()
+        found = find_spans(tagger, [t or "" for t in held])
+        return [pa.array([t and redact_text(t, s) for t, (_, s) in zip(held, found, strict=True)], texts.type)]
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return with_columns(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, {text_col: "string"}, clean)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
