@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailforge.llm import jaccard
 
@@ -59,6 +61,19 @@ def test_every_pair_is_found(spark, monkeypatch, sampled):
     assert {r.doc_id for r in jaccard.deduplicate(docs).collect()} == set(got.values())
 
 
+def test_sketches_never_rule_out_alike_sets(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(300):
+        n = r.choice([1, 5, 31, 33, 64, 300])
+        a = {r.getrandbits(63) for _ in range(n)}
+        b = set(list(a)[: r.randint(0, n)]) | {r.getrandbits(63) for _ in range(r.randint(0, n // 3 + 1))}
+        if b and max(len(a), len(b)) <= 2 * min(len(a), len(b)):
+            rows.append((len(a ^ b), *(jaccard.odd_sketch(np.array(sorted(x), np.int64)).tolist() for x in (a, b))))
+    got = spark.createDataFrame(rows, "far int, a array<bigint>, b array<bigint>").select("far", jaccard._differing(F.col("a"), F.col("b")).alias("odd")).collect()
+    assert len(got) > 100 and all(x.odd <= x.far and (x.far - x.odd) % 2 == 0 for x in got)
+
+
 def test_stage_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = _components({r.doc_id: r.text for r in docs.collect()})
