@@ -5,7 +5,7 @@ fingerprint is the sum of its paragraphs' vectors:
 
 * ``EXACT`` lanes modulo 2**64, pseudo-random in the whole paragraph: documents
   with other multisets of paragraphs differ here but for chance;
-* ``ROUGH`` lanes modulo 2**16: every stretch of ``GRAM`` bytes inside the
+* ``ROUGH`` lanes modulo 2**32, which no text of Spark's can overflow: every stretch of ``GRAM`` bytes inside the
   paragraph (the whole of a shorter one) adds 1 or -1 to one lane.  Read as
   signed numbers they are a sketch whose cosine estimates how alike two texts
   are, even where a paragraph was edited.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed_id, held_id, id_kind, whole_text
+from .common import freed_id, held_id, id_kind, materialize, whole_text
 
 EXACT, ROUGH, GRAM = 4, 128, 16  # a gram's lane and sign are 8 bits of its hash
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -74,7 +74,7 @@ def paragraph_vector(paragraph: bytes) -> tuple[np.ndarray, np.ndarray]:
     elif paragraph:
         lane = digest[0] % ROUGH
         rough[lane] = 1 if digest[1] & 1 else -1
-    return exact, rough.astype(np.uint16)
+    return exact, rough.astype(np.uint32)
 
 
 class Fingerprint:
@@ -82,14 +82,12 @@ class Fingerprint:
 
     def __init__(self, exact: np.ndarray | None = None, rough: np.ndarray | None = None) -> None:
         self.exact = np.zeros(EXACT, np.uint64) if exact is None else exact
-        self.rough = np.zeros(ROUGH, np.uint16) if rough is None else rough
+        self.rough = np.zeros(ROUGH, np.uint32) if rough is None else rough
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
-        """Of a whole text; its paragraphs are its lines, and empty ones count."""
+        """Of a whole text; its paragraphs are its lines, and empty ones count (an empty text is one of them)."""
         out, data = cls(), text.encode("utf-8", "surrogatepass")
-        if not data:
-            return out
         short = np.zeros(ROUGH, np.int64)
         exact = []
         for line in data.split(b"\n"):
@@ -98,7 +96,7 @@ class Fingerprint:
             if line and len(line) < GRAM:
                 short[digest[0] % ROUGH] += 1 if digest[1] & 1 else -1
         out.exact = np.frombuffer(b"".join(exact), "<u8").reshape(-1, EXACT).sum(0, dtype=np.uint64)
-        out.rough = (_rough(data) + short).astype(np.uint16)
+        out.rough = (_rough(data) + short).astype(np.uint32)
         return out
 
     def add(self, paragraph: str) -> Fingerprint:
@@ -119,18 +117,18 @@ class Fingerprint:
         return hash(self.hex())
 
     def hex(self) -> str:
-        return self.exact.astype("<u8").tobytes().hex() + self.rough.astype("<u2").tobytes().hex()
+        return self.exact.astype("<u8").tobytes().hex() + self.rough.astype("<u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> Fingerprint:
         data = bytes.fromhex(text)
-        return cls(np.frombuffer(data[: 8 * EXACT], "<u8").copy(), np.frombuffer(data[8 * EXACT :], "<u2").copy())
+        return cls(np.frombuffer(data[: 8 * EXACT], "<u8").copy(), np.frombuffer(data[8 * EXACT :], "<u4").copy())
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints; else the cosine of the rough lanes, 0 at least."""
         if self == other:
             return 1.0
-        a, b = self.rough.view(np.int16).astype(np.float64), other.rough.view(np.int16).astype(np.float64)
+        a, b = self.rough.view(np.int32).astype(np.float64), other.rough.view(np.int32).astype(np.float64)
         size = float(np.sqrt((a @ a) * (b @ b)))
         return min(1.0, max(0.0, float(a @ b) / size)) if size else 0.0
 
@@ -140,9 +138,17 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Bounds are quantiles of the ids (at most ``BUCKETS`` numbers), so a bucket
     is a share of the rows; each text is shuffled once.  The last bucket's tail
-    is the first row of all.  Null ids come first.
+    is the first row of all.  Null ids come first.  Ids that aren't whole numbers
+    are ordered as texts: their distinct values are numbered by a sort first.
     """
-    ins = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("key"), held_id(docs, id_col), whole_text(text_col).alias("text"))
+    text = whole_text(text_col).alias("text")
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        ins = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("key"), held_id(docs, id_col), text)
+    else:
+        named = docs.select(F.concat(F.lit("+"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("name"), F.col(id_col).isNull().alias("none"), held_id(docs, id_col), text)
+        names = named.where("not none").select("name").distinct().repartitionByRange("name").sortWithinPartitions("name")
+        names = materialize(names.withColumn("place", F.monotonically_increasing_id()), "id-order")
+        ins = named.join(names, "name", "left").select(F.when(F.col("none"), F.lit(-(1 << 63))).otherwise(F.col("place")).alias("key"), "doc_id", "text")
     keys = ins.select("key")
     count = keys.count()
     buckets = max(1, min(BUCKETS, count // ROWS))
@@ -173,8 +179,8 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The next document is the one with the next greater id (rows that repeat an
     id: by text); after the last comes the first, and a single row is its own
-    next.  Null texts are empty; empty texts have the zero fingerprint, like 1
-    to each other and 0 to others.  An empty table gives no rows.
+    next.  Null texts are empty; empty texts are like 1 to each other and 0 to
+    others.  An empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,9 @@
-"""Exact top-k inner products by the threshold algorithm over sorted per-dimension lists."""
+"""Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
+
+Where a few dimensions decide, reading stops early; where all 64 count alike, as
+in vectors drawn at random, the bound holds only once nearly all rows have come
+up in some list, and each row is scored once all the same.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Candidates and queries that one task holds.
 CANDIDATES = 16_384
 QUERIES = 1_024
@@ -30,7 +37,7 @@ class SortedLists:
         that doubles.  Rows seen anywhere are scored in full; no unseen row can
         score more than the sum of the lists' values at that depth, and reading
         ends when this bound is *below* the kth score (a tie may still hide a
-        smaller id).
+        smaller id), or at the lists' ends.  ``read`` counts the rows scored.
         """
         n = len(self.ids)
         used = np.flatnonzero(query)
@@ -39,6 +46,7 @@ class SortedLists:
         seen = np.zeros(n, bool)
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         depth, step = 0, 16
+        self.read = 0
         while depth < n:
             to = min(n, depth + step)
             fresh = np.zeros(n, bool)
@@ -49,9 +57,7 @@ class SortedLists:
             new = np.flatnonzero(fresh & ~seen)
             seen |= fresh
             depth, step = to, step * 2
-            if seen.sum() * 2 > n:  # most rows have come up somewhere: score the others at once
-                new = np.union1d(new, np.flatnonzero(~seen))
-                seen[:] = True
+            self.read += len(new)
             score = self.vectors[new] @ query
             own = self.ids[new] != query_id
             best_ids, best = np.concatenate([best_ids, self.ids[new][own]]), np.concatenate([best, score[own]])
@@ -88,11 +94,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     empty table, or a single row, gives none.  Scores are sums of longs; vectors
     whose products would leave the range of long are an error.
     """
-    rows = quantized(vectors, id_col, vector_col, scale)
+    # written, so that a row stays in its block if its task runs again; blocks are drawn by row, as an id may repeat
+    rows = materialize(quantized(vectors, id_col, vector_col, scale), "quantized")
     count = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
     by, of = max(1, -(-count.n // CANDIDATES)), max(1, -(-count.q // QUERIES))
-    c = rows.withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(by))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(of - 1).cast("bigint"))))
-    q = rows.where(F.col("id") % every == 0).withColumn("q", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(of))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(by - 1).cast("bigint"))))
+    c = rows.withColumn("c", F.floor(F.rand(1) * by)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(of - 1).cast("bigint"))))
+    q = rows.where(F.col("id") % every == 0).withColumn("q", F.floor(F.rand(2) * of)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(by - 1).cast("bigint"))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
