@@ -486,6 +486,31 @@ def test_layouts(spark):
     assert exact == chat.MAPPINGS[0].fingerprint
 
 
+def test_nested_layouts(spark):
+    """What lies below a list or an object tells layouts apart; one without a mapping has no turns."""
+    rows = [
+        '{"messages":[{"role":"user","content":{"parts":["a","b"]}}]}', '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}',
+        '{"data":{"turns":[{"speaker":"s","text":"t"}]}}', '{"messages":[{"role":"user","content":{"html":"a"}}]}', '{"messages":[{"role":"user","content":"a"}]}', "", '{"messages": 3',
+    ]
+    frame = spark.createDataFrame([(i, r, "m") for i, r in enumerate(rows)], "id int, raw string, mapping string")
+    out = chat.canonical_turns(frame, "raw")
+    assert out.columns == ["id", "raw", "layout", "mapping", "turns"]
+    got = {r.id: (r.mapping, r.turns and [tuple(t) for t in r.turns]) for r in out.collect()}
+    assert got[0] == ("message_parts", [("user", "a\nb")]) and got[1] == ("typed_parts", [("user", "a\nb")]) and got[2] == ("nested_turns", [("s", "t")])
+    assert got[3] == (None, None) and got[4] == ("messages", [("user", "a")]) and got[5] == got[6] == (None, None)
+    assert len({r.layout for r in out.where("id < 5").collect()}) == 5
+
+
+def test_query_meets_several_layouts(spark):
+    """The query's rows differ in layout, and the fingerprint brings every one back to the turns it was made of."""
+    turns = chat.gather_turns(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    long = [(-1, 0, "user", "x\u0001\"\\ é漢🙂 \t" * 20_000), (-1, 1, "assistant", ""), (-2, 0, "other", None), (-3, 0, "system", ""), (-3, 1, "user", "\ud7ff"), (-3, 2, "assistant", "</turn>")]
+    turns = turns.unionByName(chat.gather_turns(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")))
+    back = chat.canonical_turns(chat.as_layouts(turns), "json", roles={}).collect()
+    assert {r.conv_id: r.turns for r in back} == {r.conv_id: r.turns for r in turns.collect()}
+    assert len({r.layout for r in back}) >= 3
+
+
 # 10 ------------------------------------------------------------------------------------------
 
 

@@ -26,7 +26,8 @@ class Mapping:
 
     ``paths``: the leaf paths that make up the layout, lists marked by ``[]``.
     Either ``turns`` (the path of a list, with ``role`` and ``text`` inside its
-    elements) or ``fields``: ``(role, path, ...)`` in order, the texts of one
+    elements; a ``[]`` in ``text`` marks a list of parts, which are joined by line
+    breaks) or ``fields``: ``(role, path, ...)`` in order, the texts of one
     role's paths joined by a blank line.
     """
 
@@ -51,6 +52,9 @@ def path_fingerprint(paths) -> str:
 
 MAPPINGS = (
     Mapping("messages", ("messages[].content", "messages[].role"), "messages"),
+    Mapping("message_parts", ("messages[].content.parts[]", "messages[].role"), "messages", text="content.parts[]"),
+    Mapping("typed_parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), "messages", text="content[].text"),
+    Mapping("nested_turns", ("data.turns[].speaker", "data.turns[].text"), "data.turns", "speaker", "text"),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
     Mapping("instruction_input", ("input", "instruction", "output"), fields=(("user", "instruction", "input"), ("assistant", "output"))),
     Mapping("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
@@ -98,15 +102,28 @@ def json_paths(value: Column, depth: int = 3) -> Column:
     return F.when(F.json_object_keys(value).isNotNull(), F.array_sort(F.array_distinct(below(value, F.lit(""), depth))))
 
 
-def with_fingerprint(df: DataFrame, json_col: str, target: str = "layout") -> DataFrame:
+#: Levels of nesting that fingerprints tell apart; what lies deeper counts as a leaf.
+DEPTH = 3
+
+
+def with_fingerprint(df: DataFrame, json_col: str, target: str = "layout", depth: int = DEPTH) -> DataFrame:
     """``df`` with the fingerprint of each row's JSON layout (null: not an object)."""
-    return df.withColumn(target, F.sha2(F.array_join(json_paths(F.col(json_col), 1), "\n"), 256))
+    return df.withColumn(target, F.sha2(F.array_join(json_paths(F.col(json_col), depth), "\n"), 256))
+
+
+def _text(value: Column, path: str) -> Column:
+    """The text at a path; where the path has a list, those of its elements by line."""
+    outer, listed, inner = path.partition("[]")
+    if not listed:
+        return F.get_json_object(value, f"$.{path}")
+    items = F.from_json(F.get_json_object(value, f"$.{outer}"), "array<string>")
+    return F.array_join(F.transform(items, lambda e: F.get_json_object(e, f"${inner}")) if inner else items, "\n")
 
 
 def _apply(m: Mapping, value: Column) -> Column:
     if m.turns:
         items = F.from_json(F.get_json_object(value, f"$.{m.turns}"), "array<string>")
-        return F.transform(items, lambda e: F.struct(F.get_json_object(e, f"$.{m.role}").alias("role"), F.coalesce(F.get_json_object(e, f"$.{m.text}"), F.lit("")).alias("text")))
+        return F.transform(items, lambda e: F.struct(F.get_json_object(e, f"$.{m.role}").alias("role"), F.coalesce(_text(e, m.text), F.lit("")).alias("text")))
     made = []
     for role, *paths in m.fields:
         texts = F.filter(F.array(*(F.get_json_object(value, f"$.{p}") for p in paths)), lambda t: t.isNotNull() & (t != ""))
@@ -114,16 +131,18 @@ def _apply(m: Mapping, value: Column) -> Column:
     return F.array(*made)
 
 
-def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS, roles: dict[str, str] = ROLES) -> DataFrame:
-    """``df`` with ``layout``, ``mapping`` (its name) and ``turns``.
+def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS, roles: dict[str, str] = ROLES, depth: int = DEPTH) -> DataFrame:
+    """``df`` with ``layout``, ``mapping`` (its name) and ``turns``; columns of these names are replaced.
 
     An exact fingerprint decides; else the mapping with most paths among those
-    whose paths all occur; else name and turns are null.  Null and malformed
-    texts have neither.  Null fields inside a layout are empty texts.
+    whose paths all occur; else name and turns are null.  Null, empty and
+    malformed texts have neither.  Null fields inside a layout are empty texts.
+    Rows that repeat are mapped each, texts of any length whole, and an empty
+    table gives no rows.
     """
-    value = F.col(json_col)
-    paths = F.col("__paths")
-    out = df.withColumn("__paths", json_paths(value, 1)).withColumn("layout", F.sha2(F.array_join("__paths", "\n"), 256))
+    held = df.select(F.struct("*").alias("row"), F.col(json_col).cast("string").alias("json"))
+    value, paths = F.col("json"), F.col("paths")
+    out = held.withColumn("paths", json_paths(value, depth)).withColumn("layout", F.sha2(F.array_join("paths", "\n"), 256))
     exact = [(F.col("layout") == m.fingerprint, m) for m in mappings]
     loose = [(F.size(F.array_except(F.array(*map(F.lit, m.paths)), paths)) == 0, m) for m in sorted(mappings, key=lambda m: -len(m.paths))]
     rules = exact + loose
@@ -138,7 +157,8 @@ def canonical_turns(df: DataFrame, json_col: str, mappings: tuple[Mapping, ...]
     if roles:
         known = F.create_map(*(F.lit(x) for pair in roles.items() for x in pair))
         turns = F.transform(turns, lambda t: F.struct(F.coalesce(known[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
-    return out.drop("__paths").withColumn("turns", turns)
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("layout", "mapping", "turns")]
+    return out.select(*kept, "layout", "mapping", turns.alias("turns"))
 
 
 # Typed tables with one turn a row: the fingerprint of the table's own schema selects the columns.
@@ -198,22 +218,23 @@ def unescape(c: Column, marks=ESCAPES) -> Column:
 def format_turns(df: DataFrame, turns: str = "turns", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``df`` with ``formatted`` and ``loss_spans`` (start, length in code points of the escaped texts to learn).
 
-    Null or empty lists of turns give an empty text without spans; null roles
-    and texts inside are empty.
+    Columns of these names are replaced.  Null or empty lists of turns give an
+    empty text without spans; null roles and texts inside are empty.
     """
     escaped = F.transform(F.coalesce(F.col(turns), F.array().cast(TURNS)), lambda t: F.struct(
         F.concat(F.lit(HEAD), escape(F.coalesce(t["role"], F.lit("")), ROLE_ESCAPES), F.lit(MID)).alias("head"),
         escape(F.coalesce(t["text"], F.lit(""))).alias("text"),
         F.coalesce(t["role"].isin(*learn), F.lit(False)).alias("learn"),
     ))
-    out = df.withColumn("__escaped", escaped)
-    formatted = F.array_join(F.transform("__escaped", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
-    sizes = F.transform("__escaped", lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END))
+    out = df.select(F.struct("*").alias("row"), escaped.alias("escaped"))
+    formatted = F.array_join(F.transform("escaped", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
+    sizes = F.transform("escaped", lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
     starts = F.aggregate(sizes, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
-    spans = F.zip_with("__escaped", starts, lambda t, s: F.struct((s + F.length(t["head"])).alias("start"), F.length(t["text"]).cast("bigint").alias("length"), t["learn"].alias("learn")))
-    out = out.withColumn("formatted", formatted).withColumn("loss_spans", F.filter(spans, lambda s: s["learn"])).drop("__escaped")
-    return out.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))))
+    spans = F.zip_with("escaped", starts, lambda t, s: F.struct((s + F.length(t["head"])).alias("start"), F.length(t["text"]).cast("bigint").alias("length"), t["learn"].alias("learn")))
+    learned = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("formatted", "loss_spans")]
+    return out.select(*kept, formatted.alias("formatted"), learned.alias("loss_spans"))
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -234,12 +255,25 @@ def learned_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
+def as_layouts(gathered: DataFrame) -> DataFrame:
+    """``(conv_id, json)`` of gathered turns, in the layout that suits each conversation: prompt and response with or without a system text where these are its turns, else lists of two kinds."""
+    turns = F.col("turns")
+    roles = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"))), "")
+    said = lambda i: turns[i]["text"]
+    pair = F.to_json(F.struct(said(0).alias("prompt"), said(1).alias("response")))
+    triple = F.to_json(F.struct(said(1).alias("prompt"), said(2).alias("response"), said(0).alias("system")))
+    listed = F.to_json(F.struct(F.transform(turns, lambda t: F.struct(t["text"].alias("content"), t["role"].alias("role"))).alias("messages")))
+    deep = F.to_json(F.struct(F.struct(F.transform(turns, lambda t: F.struct(t["role"].alias("speaker"), t["text"].alias("text"))).alias("turns")).alias("data")))
+    chosen = F.when(roles == "user\nassistant\n", pair).when(roles == "system\nuser\nassistant\n", triple)
+    return gathered.select("conv_id", chosen.when(F.pmod("conv_id", F.lit(2)) == 0, listed).otherwise(deep).alias("json"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1: format all conversations and one with control strings; digests are read back from the output."""
+    """op1: all conversations and one with control strings, in several layouts, brought to turns by their fingerprints and formatted; digests are read back from the output."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    done = format_turns(gather_turns(rows.unionByName(extra)))
+    done = format_turns(canonical_turns(as_layouts(gather_turns(rows.unionByName(extra))), "json", roles={}))
     read = done.select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("back"), learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
