@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailforge import columns as C
 from trailforge.core import MissingColumns, process
-from trailforge.functions import wkt
+from trailforge.functions import geodesy, wkt
 from trailforge.model import DataModel, HmmModel, period
 from trailforge.operators import enrich, features, fragments, hmm, missions, outliers, segments
 from trailforge.sources import io
@@ -97,6 +97,86 @@ def test_viterbi_and_unknown(spark):
         HmmModel.read(spark, "/nowhere/model.json")
 
 
+def test_published_geodesics(spark):
+    """Lengths and bearings from the literature: Flinders Peak to Buninyong, JFK to LHR, a degree of the equator, a quarter meridian."""
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (1 if d >= 0 else -1)
+    rows = [
+        (dms(-37, 57, 3.7203), dms(144, 25, 29.5244), dms(-37, 39, 10.1561), dms(143, 55, 35.3839), 54972.271, dms(306, 52, 5.37)),
+        (40.6, -73.8, 51.6, -0.5, 5551759.400, 51.198882845579824), (0.0, 10.0, 0.0, 11.0, 111319.491, 90.0), (0.0, 0.0, 90.0, 0.0, 10001965.729, 0.0), (5.0, 5.0, 5.0, 5.0, 0.0, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, length double, bearing double")
+    for r in geodesy.with_geodesic(df, "a", "b", "c", "d", "got", "toward").collect():
+        assert abs(r.got - r.length) < 2e-3 and abs(r.toward - r.bearing) < 2e-6, r
+        assert abs(missions.inverse(r.a, r.b, r.c, r.d) - r.length) < 2e-3
+
+
+def test_geometry_of_rings_and_long_lines():
+    square = "POLYGON ((0 0, 5 0.00001, 10 0, 10 10, 0 10, 0 0), (2 2, 2 2.00001, 2.00001 2, 2 2), (4 4, 6 4, 6 6, 4 6, 4 4))"
+    assert wkt.simplify(square) == "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
+    assert wkt.simplify("POLYGON ((0 0, 0 0.00001, 0.00001 0, 0 0))") == "POLYGON EMPTY" and wkt.simplify("POINT (1 2)") == "POINT (1 2)"
+    assert wkt.simplify(f"MULTIPOLYGON ({square[8:]}, ((20 0, 30 0, 30 9, 20 0)))") == "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4)), ((20 0, 30 0, 30 9, 20 0)))"
+    assert wkt.split_antimeridian("LINESTRING (-100 0, 0 0, 100 0)") == "LINESTRING (-100 0, 0 0, 100 0)"
+    assert wkt.split_antimeridian("LINESTRING (-90 0, 90 10)") == "MULTILINESTRING ((-90 0, -180 5), (180 5, 90 10))"
+    assert wkt.split_antimeridian("LINESTRING (170 0, -170 10, 170 20)") == "MULTILINESTRING ((170 0, 180 5), (-180 5, -170 10, -180 15), (180 15, 170 20))"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_times_in_every_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        raw = spark.createDataFrame([("a", "2018-06-01 00:00:00")], "id string, timestamp string")
+        plain = process(raw, features.StandardTimestamp(DataModel(time_format="yyyy-MM-dd HH:mm:ss")))
+        assert column(plain, C.TIMESTAMP, "id") == [1527811200]
+        zoned = process(raw.withColumn("timestamp", F.concat("timestamp", F.lit("+02:00"))), features.StandardTimestamp(DataModel(time_format="yyyy-MM-dd HH:mm:ssXXX")))
+        assert column(zoned, C.TIMESTAMP, "id") == [1527811200 - 7200]
+        times = spark.range(0, 4 * 86400, 3600).select((F.col("id") + 1527811200).alias(C.TIMESTAMP))
+        days = process(times, features.TimePartition())
+        inside = io.within(days, period("2018-06-01T22:00:00+00:00", "2018-06-03T03:00:00+00:00")).count()
+        assert inside == 30
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_large_integers_stay_whole(spark):
+    """Whole rows pass through Python with their types: a long beyond doubles, beside a null."""
+    big = (1 << 60) + 1
+    model = HmmModel(("S", "M"), (1.0,), {"S": (0.9, 0.1), "M": (0.1, 0.9)}, {"S": {"S": 0.5, "M": 0.5}, "M": {"S": 0.5, "M": 0.5}}, {"S": 0.5, "M": 0.5})
+    df = spark.createDataFrame([("a", 1, 0.0, big), ("a", 2, 5.0, None)], f"id string, {C.TIMESTAMP} int, v double, n long")
+    out = process(df, hmm.HmmStates("v", model, "id", "st"))
+    assert [(r.st, r.n) for r in out.orderBy(C.TIMESTAMP).collect()] == [("S", big), ("M", None)]
+    named = df.withColumns({f"{s}{f}": F.lit(s) for s in (C.DEPARTURE, C.ARRIVAL) for f in C.ADDRESS_FIELDS} | {f"{s}{x}": F.lit(1.0) for s in (C.DEPARTURE, C.ARRIVAL) for x in ("lat", "lon")})
+    named = named.withColumns({C.START: F.col(C.TIMESTAMP).cast("long"), C.END: F.col(C.TIMESTAMP).cast("long"), C.COURSE_DURATION: F.lit(1)})
+    plan = process(named, missions.Missions(M, "v", "v"))
+    assert {r.n for r in plan.collect()} == {big, None}
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    asked = process(df.withColumns({"lat": F.lit(1.0), "lon": F.lit(2.0)}), enrich.Addresses("{lat}{lon}{zoom}", "lat", "lon", fetcher=lambda u: None))
+    assert {r.n for r in asked.collect()} == {big, None}
+
+
+def test_fetch_from_a_server():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(200 if self.path == "/ok" else 400)
+            self.end_headers()
+            self.wfile.write("é".encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert enrich.fetch(f"{at}/ok") == "é" and enrich.fetch(f"{at}/bad") is None and enrich.fetch_or_fail(f"{at}/bad") is None
+    server.shutdown()
+    server.server_close()
+    assert enrich.fetch(at) is None
+    with pytest.raises(enrich.ServiceUnavailable):
+        enrich.fetch_or_fail(at)
+
+
 def test_geometry():
     assert wkt.number(-0.00000001) == "0" and wkt.number(1.10) == "1.1" and wkt.number(12345678.5) == "12345678.5"
     assert wkt.simplify(None) is None and wkt.simplify("") is None
@@ -168,4 +248,6 @@ def test_streams(spark, tmp_path):
     got = go(stream_runs.stream_durations(stream), "made")
     assert sorted((r.id, r[C.TIMESTAMP], r[C.DURATION]) for r in got) == [("a", 0, None), ("a", 100, 100), ("b", 10, None)]
     points.where(f"{C.TIMESTAMP} > 200").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    assert {(r.id, r[C.START], r[C.END], r.n) for r in go(stream_runs.gap_runs(stream), "runs")} <= {("a", 0, 100, 2), ("b", 10, 10, 1)}
+    points.where("id = 'b'").withColumn(C.TIMESTAMP, F.lit(300_000).cast("long")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    # the watermark has passed all but the latest point, whose run is still open
+    assert {(r.id, r[C.START], r[C.END], r.n) for r in go(stream_runs.gap_runs(stream), "runs")} == {("a", 0, 100, 2), ("b", 10, 10, 1), ("a", 50_000, 50_000, 1)}

@@ -1,7 +1,7 @@
 """Enrichment by web services: addresses of places, and routes matched to trails.
 
 Rows are sent from the executors in Arrow batches; a partition asks once for
-each distinct request.  The fetcher is a parameter, so that services can be
+each distinct request, of the latest ones that it remembers.  The fetcher is a parameter, so that services can be
 replaced, throttled or recorded.
 """
 
@@ -12,7 +12,7 @@ import logging
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -55,6 +55,20 @@ def trail_url(pattern: str, trail: str) -> str:
     return pattern.format(points="&".join(f"point={y:.6f},{x:.6f}" for x, y in wkt.vertices(trail)))
 
 
+class _Remembered:
+    """Answers by URL, of which the latest ``most`` requests are kept."""
+
+    def __init__(self, ask: Callable, most: int = 50_000) -> None:
+        self.ask, self.most, self.known = ask, most, {}
+
+    def __call__(self, url: str):
+        if url not in self.known:
+            if len(self.known) >= self.most:
+                del self.known[next(iter(self.known))]
+            self.known[url] = self.ask(url)
+        return self.known[url]
+
+
 class Addresses(Transformer):
     """Address fields of a place, by reverse geocoding.
 
@@ -73,29 +87,28 @@ class Addresses(Transformer):
         new = [prefix + f for f in C.ADDRESS_FIELDS if prefix + f not in df.columns]
         schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in new)])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known: dict[str, dict] = {}
-            for pdf in batches:
-                asked = pdf[condition].eq(True).fillna(False) if condition else pd.Series(True, pdf.index)
+        def ask(url: str) -> dict:
+            body = get(url)
+            try:
+                return (json.loads(body) if body else {}).get("address") or {}
+            except ValueError:
+                return {}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            answers = _Remembered(ask)
+            for batch in batches:
+                asked = batch[condition].to_pylist() if condition else [True] * batch.num_rows
                 rows = []
-                for a, b, go in zip(pdf[lat], pdf[lon], asked, strict=True):
-                    if not go or a is None or b is None or a != a or b != b:
-                        rows.append({} if go else None)
-                        continue
-                    url = place_url(pattern, a, b, zoom)
-                    if url not in known:
-                        body = get(url)
-                        try:
-                            known[url] = (json.loads(body) if body else {}).get("address") or {}
-                        except ValueError:
-                            known[url] = {}
-                    rows.append(known[url])
+                for a, b, go in zip(batch[lat].to_pylist(), batch[lon].to_pylist(), asked, strict=True):
+                    known = a is not None and b is not None and a == a and b == b
+                    rows.append(None if not go else answers(place_url(pattern, a, b, zoom)) if known else {})
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 for f in C.ADDRESS_FIELDS:
-                    old = pdf[prefix + f] if prefix + f in pdf else [None] * len(pdf)
-                    pdf[prefix + f] = [o if r is None else r.get(f) for r, o in zip(rows, old, strict=True)]
-                yield pdf
+                    old = columns[prefix + f].to_pylist() if prefix + f in columns else [None] * len(rows)
+                    columns[prefix + f] = pa.array([o if r is None else r.get(f) for r, o in zip(rows, old, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], names=schema.names)
 
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
 
 
 class Routes(Transformer):
@@ -122,18 +135,12 @@ class Routes(Transformer):
             except (ValueError, KeyError, IndexError, TypeError):
                 return None
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known: dict[str, tuple | None] = {}
-            for pdf in batches:
-                asked = pdf[condition].eq(True).fillna(False) if condition else pd.Series(True, pdf.index)
-                rows = []
-                for t, go in zip(pdf[trail], asked, strict=True):
-                    got = None
-                    if go and t:
-                        url = trail_url(pattern, t)
-                        got = known[url] if url in known else known.setdefault(url, route(url))
-                    rows.append(got or (t, None, None))
-                names = ["routing_trail", "routing_distance_m", "routing_duration_s"]
-                yield pd.concat([pdf, pd.DataFrame(rows, columns=names, index=pdf.index).astype({"routing_duration_s": "Int64"})], axis=1)
-
-        return df.mapInPandas(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            answers = _Remembered(route)
+            for batch in batches:
+                asked = batch[condition].to_pylist() if condition else [True] * batch.num_rows
+                rows = [(go and t and answers(trail_url(pattern, t))) or (t, None, None) for t, go in zip(batch[trail].to_pylist(), asked, strict=True)]
+                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+        return df.mapInArrow(run, schema)

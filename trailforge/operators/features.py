@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,7 +210,10 @@ class StandardTimestamp(Transformer):
         return [self.model.timestamp]
 
     def build(self, df: DataFrame) -> DataFrame:
-        at = F.try_to_timestamp(F.col(self.model.timestamp), F.lit(self.model.time_format))
+        text, pattern = F.col(self.model.timestamp).cast("string"), self.model.time_format
+        if not set("XxZzVO") & set(re.sub("'[^']*'", "", pattern)):  # no zone in it: the session's must not be taken
+            text, pattern = F.concat(text, F.lit(" +00:00")), f"{pattern} XXX"
+        at = F.try_to_timestamp(text, F.lit(pattern))
         return df.withColumn(self.target, F.unix_seconds(at))
 
 
@@ -229,10 +231,10 @@ class TimePartition(Transformer):
 
 
 def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: the first by all other columns, so that the choice is repeatable."""
-    others = [F.col(f"`{c}`").cast("string") for c in df.columns if c not in keys]
-    order = W.partitionBy(*keys).orderBy(*others or [F.lit(1)])
-    return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """One row for each key: the least by its JSON text, so that the choice is repeatable for columns of any type."""
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns))
+    best = df.groupBy(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return best.select(*(F.col("row")[c].alias(c) for c in df.columns))
 
 
 class FormatPoints(Transformer):
@@ -291,7 +293,3 @@ def nested(df: DataFrame, groups: dict[str, dict]) -> DataFrame:
 
     require(df.schema, [n for g in groups.values() for n in names(g) if "." not in n])
     return df.withColumns({name: build(group) for name, group in groups.items()})
-
-
-def greatest_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: F.greatest(a, b), columns)

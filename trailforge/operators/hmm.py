@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,9 +55,10 @@ class HmmStates(Transformer):
         w = W.partitionBy(self.partition).orderBy(order)
         chunked = df.withColumn("__chunk", F.floor((F.row_number().over(w) - 1) / self.chunk))
 
-        def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable").drop(columns="__chunk")
-            lists = [np.nan_to_num(np.asarray(v, float)) if isinstance(v, (list, np.ndarray)) and len(v) else np.array([0.0 if v is None or isinstance(v, (list, np.ndarray)) or v != v else float(v)]) for v in pdf[source]]
+        def decode(table: pa.Table) -> pa.Table:
+            table = table.take(pc.sort_indices(table, [(order, "ascending")], null_placement="at_start")).drop_columns("__chunk")
+            values = table[source].to_pylist()
+            lists = [np.array([0.0 if x is None or x != x else float(x) for x in v], float) if isinstance(v, list) and v else np.array([0.0 if v is None or isinstance(v, list) or v != v else float(v)]) for v in values]
             try:
                 states = viterbi(model, np.concatenate(lists))
             except (ValueError, KeyError, IndexError):
@@ -66,12 +68,12 @@ class HmmStates(Transformer):
                 own = states[at : at + len(v)]
                 out.append(min(set(own), key=lambda s: (-own.count(s), s)))  # noqa: B023
                 at += len(v)
-            return pdf.assign(**{target: out})
+            kept = table.drop_columns(target) if target in table.column_names else table
+            return kept.append_column(target, pa.array(out, pa.string()))
 
         schema = df.drop(target).schema.add(target, "string")
-        if target in df.columns:
-            chunked = chunked.drop(target)
-        return chunked.groupBy(self.partition, "__chunk").applyInPandas(decode, schema)
+        # dealt by chunk, so that an object with a long history isn't one task; rows stay in Arrow, with the types they have
+        return chunked.repartition(self.partition, "__chunk").groupBy(self.partition, "__chunk").applyInArrow(decode, schema)
 
 
 class MovingState(HmmStates):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +46,8 @@ class Missions(Transformer):
 
     The mission's anchor hangs on all earlier rows of the object, so each object
     is read once, in order, by one task; only the anchor, two numbers and a
-    counter are kept (rows stream through a sorted partition).  Metrics of
-    missions are then plain aggregates.
+    counter are kept (rows stream through a sorted partition, once).  Metrics
+    of missions are windows over object and mission.
     """
 
     def __init__(self, model: DataModel, sensor_distance: str, gps_distance: str) -> None:
@@ -59,13 +60,13 @@ class Missions(Transformer):
     def build(self, df: DataFrame) -> DataFrame:
         oid = self.model.id
 
-        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = anchor = None
             last, number = 0.0, 0
-            for pdf in batches:
+            for batch in batches:
                 numbers, distances = [], []
-                cols = (oid, f"{C.DEPARTURE}lat", f"{C.DEPARTURE}lon", f"{C.ARRIVAL}lat", f"{C.ARRIVAL}lon")
-                for o, dlat, dlon, alat, alon in zip(*(pdf[c] for c in cols), strict=True):
+                places = (batch[c].to_numpy(zero_copy_only=False).astype(float).tolist() for c in (f"{C.DEPARTURE}lat", f"{C.DEPARTURE}lon", f"{C.ARRIVAL}lat", f"{C.ARRIVAL}lon"))
+                for o, dlat, dlon, alat, alon in zip(batch[oid].to_pylist(), *places, strict=True):
                     if same is None or o != same[0]:
                         same, anchor, last, number = (o,), (dlat, dlon), 0.0, 0
                     d = inverse(*anchor, alat, alon)
@@ -75,24 +76,24 @@ class Missions(Transformer):
                     last = d
                     numbers.append(number)
                     distances.append(d)
-                yield pdf.assign(__mission=numbers, __away=distances)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(distances, pa.float64())], names=[*batch.schema.names, "__mission", "__away"])
 
         schema = T.StructType(list(df.schema.fields)).add("__mission", "long").add("__away", "double")
-        folded = df.repartition(oid).sortWithinPartitions(oid, C.START, C.END).mapInPandas(fold, schema)
+        folded = df.repartition(oid).sortWithinPartitions(oid, C.START, C.END).mapInArrow(fold, schema)
         at = F.struct(C.START, C.END)
-        m = C.MISSION
-        metrics = [
-            F.sum(C.COURSE_DURATION).alias(f"{m}duration_s"),
-            F.sum(self.sensor).alias(f"{m}sensor_distance_m"),
-            F.sum(self.gps).alias(f"{m}gps_distance_m"),
-            F.max_by("__away", at).alias(f"{m}straight_line_m"),
-            F.min(C.START).alias(f"{m}{C.DEPARTURE}timestamp"),
-            F.max(C.END).alias(f"{m}{C.ARRIVAL}timestamp"),
-            *(F.min_by(f"{C.DEPARTURE}{x}", at).alias(f"{m}{C.DEPARTURE}{x}") for x in ("lat", "lon", *C.ADDRESS_FIELDS)),
-            *(F.max_by(f"{C.ARRIVAL}{x}", at).alias(f"{m}{C.ARRIVAL}{x}") for x in ("lat", "lon", *C.ADDRESS_FIELDS)),
-        ]
-        missions = folded.groupBy(oid, "__mission").agg(*metrics)
+        m, w = C.MISSION, W.partitionBy(oid, "__mission")
+        metrics = {
+            f"{m}duration_s": F.sum(C.COURSE_DURATION),
+            f"{m}sensor_distance_m": F.sum(self.sensor),
+            f"{m}gps_distance_m": F.sum(self.gps),
+            f"{m}straight_line_m": F.max_by("__away", at),
+            f"{m}{C.DEPARTURE}timestamp": F.min(C.START),
+            f"{m}{C.ARRIVAL}timestamp": F.max(C.END),
+            **{f"{m}{C.DEPARTURE}{x}": F.min_by(f"{C.DEPARTURE}{x}", at) for x in ("lat", "lon", *C.ADDRESS_FIELDS)},
+            **{f"{m}{C.ARRIVAL}{x}": F.max_by(f"{C.ARRIVAL}{x}", at) for x in ("lat", "lon", *C.ADDRESS_FIELDS)},
+        }
+        missions = folded.withColumns({k: v.over(w) for k, v in metrics.items()})
         line, gps = F.col(f"{m}straight_line_m"), F.col(f"{m}gps_distance_m")
         ends = F.concat(F.col(f"{m}{C.DEPARTURE}timestamp").cast("string"), F.lit("_"), F.col(f"{m}{C.ARRIVAL}timestamp").cast("string"))
         missions = missions.withColumns({f"{m}straightness": F.when((line == 0) | (gps == 0), 0.0).otherwise(F.try_divide(line, gps)), f"{m}id": F.concat(F.col(oid), F.lit("#"), ends)})
-        return folded.join(missions, [oid, "__mission"]).drop("__mission", "__away")
+        return missions.drop("__mission", "__away")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import columns as C
 from ..core import process
-from ..functions import wkt
+from ..functions import geodesy, wkt
 from ..model import DataModel, HmmModel, period
 from ..operators import features, fragments, hmm, missions, outliers, segments
 from ..sources import io
@@ -334,16 +334,38 @@ def stop_pause_trails(spark, d):
     return out.select(C.MOTION_ID, C.TRAIL, C.PRECISION_TRAIL)
 
 
-@_query()
+# The fold over courses as recursion: each course's distance from every earlier departure is looked up.
+_MISSIONS_SQL = _COURSES_SQL + f""",
+  placed AS (SELECT {C.COURSE_ID}, id, {C.START} AS s, {C.END} AS e, cd, full_m AS gps, row_number() OVER (PARTITION BY id ORDER BY {C.START}, {C.END}) AS j FROM (SELECT summed.*, exact.g AS full_m FROM summed JOIN (SELECT {C.COURSE_ID}, sum({C.DISTANCE}) AS g FROM runs WHERE {C.COURSE_OR_STOP} <> 'STOP' GROUP BY 1) exact USING ({C.COURSE_ID}))),
+  ends AS (SELECT {C.COURSE_ID}, round(CASE WHEN arg_min({C.MOVING_STATE}, {C.START}) = 'STILL' THEN arg_min({C.CENTER_LAT}, {C.START}) ELSE arg_min(plat, {C.START}) END, 6) AS dlat, round(CASE WHEN arg_min({C.MOVING_STATE}, {C.START}) = 'STILL' THEN arg_min({C.CENTER_LON}, {C.START}) ELSE arg_min(plon, {C.START}) END, 6) AS dlon,
+    round(CASE WHEN arg_max({C.MOVING_STATE}, {C.START}) = 'STILL' THEN arg_max({C.CENTER_LAT}, {C.START}) ELSE arg_max({C.END_LAT}, {C.START}) END, 6) AS alat, round(CASE WHEN arg_max({C.MOVING_STATE}, {C.START}) = 'STILL' THEN arg_max({C.CENTER_LON}, {C.START}) ELSE arg_max({C.END_LON}, {C.START}) END, 6) AS alon FROM runs WHERE {C.COURSE_OR_STOP} <> 'STOP' GROUP BY 1),
+  located AS (SELECT * FROM placed JOIN ends USING ({C.COURSE_ID})),
+  away AS (SELECT id, i, j, m FROM {geodesy.sql("(SELECT a.id, a.j AS i, b.j, a.dlat, a.dlon, b.alat, b.alon FROM located a JOIN located b ON a.id = b.id AND a.j <= b.j)", "dlat", "dlon", "alat", "alon", "m")}),
+  folded AS (
+    SELECT id, j, j AS i, m AS last, 0 AS mission FROM away WHERE i = 1 AND j = 1
+    UNION ALL
+    SELECT f.id, f.j + 1, CASE WHEN o.m < f.last THEN f.j + 1 ELSE f.i END, CASE WHEN o.m < f.last THEN n.m ELSE o.m END, f.mission + CASE WHEN o.m < f.last THEN 1 ELSE 0 END
+    FROM folded f JOIN away o ON o.id = f.id AND o.i = f.i AND o.j = f.j + 1 JOIN away n ON n.id = f.id AND n.i = f.j + 1 AND n.j = f.j + 1),
+  missions AS (SELECT id, mission, min(s) AS s, max(e) AS e, sum(cd) AS cd, sum(gps) AS gps, arg_max(last, s) AS line FROM folded JOIN located USING (id, j) GROUP BY 1, 2)"""
+
+
+@_query(with_fragments(f"""SELECT id, {C.COURSE_ID}, id || '#' || m.s || '_' || m.e AS {C.MISSION}id, CAST(m.cd AS BIGINT) AS {C.MISSION}duration_s, round(m.line, 3) AS {C.MISSION}straight_line_m, round(CASE WHEN m.line = 0 OR m.gps = 0 THEN 0.0e0 ELSE m.line / m.gps END, 5) AS {C.MISSION}straightness
+  FROM folded JOIN located USING (id, j) JOIN missions m USING (id, mission)""", _MISSIONS_SQL).replace("WITH points", "WITH RECURSIVE points", 1))
 def mission_tag(spark, d):
     courses = process(runs(spark, d), fragments.CourseExtraction(MODEL)).withColumn("sensor", F.col(C.DISTANCE))
     named = courses.withColumns({f"{s}{f}": F.lit(None).cast("string") for s in (C.DEPARTURE, C.ARRIVAL) for f in C.ADDRESS_FIELDS})
-    return process(named, missions.Missions(MODEL, "sensor", C.DISTANCE)).select("id", C.COURSE_ID, f"{C.MISSION}id", f"{C.MISSION}duration_s", f"{C.MISSION}straight_line_m", f"{C.MISSION}straightness")
+    out = process(named, missions.Missions(MODEL, "sensor", C.DISTANCE))
+    return out.select("id", C.COURSE_ID, f"{C.MISSION}id", f"{C.MISSION}duration_s", F.round(f"{C.MISSION}straight_line_m", 3).alias(f"{C.MISSION}straight_line_m"), F.round(f"{C.MISSION}straightness", 5).alias(f"{C.MISSION}straightness"))
 
 
-@_query()
+# A geohash of six letters by whole numbers: fifteen bits of either axis, interleaved.
+_BITS = "CAST(greatest(ceil(({x} + {half}) / (2 * {half}) * 32768) - 1, 0) AS INTEGER)"
+_HASH = f"""array_to_string(list_transform(range(6), lambda k: substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + CAST(list_sum(list_transform(range(5), lambda b: CAST(((CASE WHEN (k * 5 + b) % 2 = 0 THEN {_BITS.format(x="x", half=180)} ELSE {_BITS.format(x="y", half=90)} END) >> CAST(14 - (k * 5 + b) // 2 AS INTEGER)) & 1 AS INTEGER) << CAST(4 - b AS INTEGER))) AS INTEGER), 1)), '')"""
+
+
+@_query(with_fragments(f"SELECT {C.FRAGMENT_ID}, string_agg(DISTINCT h, ',' ORDER BY h) AS hashes FROM (SELECT {C.FRAGMENT_ID}, {_HASH} AS h FROM (SELECT {C.FRAGMENT_ID}, plat AS y, plon AS x FROM fragments UNION ALL SELECT {C.FRAGMENT_ID}, {C.END_LAT}, {C.END_LON} FROM fragments)) GROUP BY 1"))
 def geohash_trail(spark, d):
-    return process(flow(spark, d), features.Geohashes(C.TRAIL, "hashes")).select(C.FRAGMENT_ID, "hashes")
+    return process(flow(spark, d), features.Geohashes(C.TRAIL, "hashes")).select(C.FRAGMENT_ID, F.array_join("hashes", ",").alias("hashes"))
 
 
 @_query()
@@ -352,7 +374,14 @@ def simplify_trail(spark, d):
     return process(summary, features.SimplifiedGeometry(C.TRAIL, "simple", 0.02)).select(C.MOTION_ID, "simple")
 
 
-@_query()
+_COORDINATE = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(12, 7)) AS VARCHAR), '[.]?0+$', '')"
+_SHIFTED = f"""(SELECT id, {T} AS t, lat AS y, x, lag({T}) OVER w AS pt, lag(lat) OVER w AS py, lag(x) OVER w AS px FROM (SELECT *, CASE WHEN lon > 2.15 THEN lon - 182 ELSE lon + 177 END AS x FROM points) WINDOW w AS (PARTITION BY id ORDER BY {T}))"""
+_CUT = "(CASE WHEN x < 0 THEN py + (180 - px) / (x + 360 - px) * (y - py) ELSE py + (180 - (px + 360)) / (x - (px + 360)) * (y - py) END)"
+
+
+@_query(with_points(f"""SELECT id || '#' || pt || '_' || t AS {C.FRAGMENT_ID}, CASE WHEN px = x AND py = y THEN 'POINT (' || b || ')' WHEN abs(x - px) < 180 THEN 'LINESTRING (' || a || ', ' || b || ')'
+  ELSE 'MULTILINESTRING ((' || a || ', ' || CASE WHEN x < 0 THEN '180' ELSE '-180' END || ' ' || c || '), (' || CASE WHEN x < 0 THEN '-180' ELSE '180' END || ' ' || c || ', ' || b || '))' END AS fixed
+  FROM (SELECT *, {_COORDINATE('px')} || ' ' || {_COORDINATE('py')} AS a, {_COORDINATE('x')} || ' ' || {_COORDINATE('y')} AS b, {_COORDINATE(_CUT)} AS c FROM {_SHIFTED} WHERE pt IS NOT NULL)"""))
 def antimeridian_fix(spark, d):
     shifted = points(spark, d).withColumn("lon", F.expr("CASE WHEN lon > 2.15 THEN lon - 182 ELSE lon + 177 END"))
     return process(process(shifted, fragments.FlowFragments(MODEL)), features.AntimeridianGeometry(C.TRAIL, "fixed")).select(C.FRAGMENT_ID, "fixed")
@@ -362,12 +391,67 @@ _MOVING = HmmModel(("STILL", "MOVE"), (20.0, 50.0), {"STILL": (0.7, 0.2, 0.1), "
 _TEMPI = HmmModel(("tempo_short", "tempo_irregular"), (10000.0, 40000.0), {"tempo_short": (0.6, 0.3, 0.1), "tempo_irregular": (0.2, 0.3, 0.5)}, {"tempo_short": {"tempo_short": 0.7, "tempo_irregular": 0.3}, "tempo_irregular": {"tempo_short": 0.4, "tempo_irregular": 0.6}}, {"tempo_short": 0.5, "tempo_irregular": 0.5})
 
 
-@_query()
+def _viterbi(model: HmmModel, value: str, order: str) -> str:
+    """The likeliest of two states for each row of ``fragments``, by recursion over each object's rows with the best path to either state."""
+    a, b = model.states
+    emit = {s: "ln(CASE " + " ".join(f"WHEN x < {edge!r}e0 THEN {p!r}e0" for edge, p in zip(model.edges, model.emission[s], strict=False)) + f" ELSE {model.emission[s][-1]!r}e0 END)" for s in model.states}
+    step = lambda p, q: f"ln({model.transition[p][q]!r}e0)"
+
+    def best(q: str) -> tuple[str, str]:
+        one, two = f"(w.sa + {step(a, q)})", f"(w.sb + {step(b, q)})"
+        return f"greatest({one}, {two}) + {emit[q]}", f"list_append(CASE WHEN {one} >= {two} THEN w.pa ELSE w.pb END, '{q}')"
+
+    (sa, pa), (sb, pb) = best(a), best(b)
+    return f"""numbered AS (SELECT id, {order} AS at, coalesce(CAST({value} AS DOUBLE), 0) AS x, row_number() OVER (PARTITION BY id ORDER BY {order}) AS n, count(*) OVER (PARTITION BY id) AS size FROM fragments),
+      walked AS (
+        SELECT id, n, size, ln({model.initial[a]!r}e0) + {emit[a]} AS sa, ln({model.initial[b]!r}e0) + {emit[b]} AS sb, ['{a}'] AS pa, ['{b}'] AS pb FROM numbered WHERE n = 1
+        UNION ALL SELECT w.id, r.n, w.size, {sa}, {sb}, {pa}, {pb} FROM walked w JOIN numbered r ON r.id = w.id AND r.n = w.n + 1),
+      decoded AS (SELECT numbered.id, numbered.at, (CASE WHEN sa >= sb THEN pa ELSE pb END)[numbered.n] AS state FROM walked JOIN numbered USING (id) WHERE walked.n = walked.size)"""
+
+
+def _decoded(model: HmmModel, value: str, target: str, shown: str = "state") -> str:
+    sql = with_fragments(f"SELECT f.id, f.{C.START}, {shown} AS {target} FROM fragments f JOIN decoded ON decoded.id = f.id AND decoded.at = f.{C.CENTER}", _viterbi(model, value, C.CENTER))
+    return sql.replace("WITH points", "WITH RECURSIVE points", 1)
+
+
+@_query(_decoded(_MOVING, "value", C.MOVING_STATE, f"CASE WHEN f.{D} > 43200 THEN 'GAP' ELSE state END"))
 def hmm_moving_state(spark, d):
     gaps = process(flow(spark, d).drop(C.MOVING_STATE), features.GapState())
     return process(gaps, hmm.MovingState(_MOVING, speed="value", gap=C.GAP_STATE)).select(*_FRG, C.MOVING_STATE)
 
 
-@_query()
+@_query(_decoded(_TEMPI, D, C.TEMPO))
 def hmm_tempo(spark, d):
     return process(flow(spark, d), hmm.Tempo(_TEMPI)).select(*_FRG, C.TEMPO)
+
+
+@_query(with_points(f"SELECT DISTINCT CAST(id AS INTEGER) % 10 || 'o' AS id, CAST({T} // 86400 AS VARCHAR) AS {T}, count(*) OVER (PARTITION BY CAST(id AS INTEGER) % 10, {T} // 86400) AS n FROM points"))
+def deduplicated_points(spark, d):
+    """Rows that share object and time, of which the formatter keeps one."""
+    many = points(spark, d).select(F.concat((F.col("id").cast("int") % 10).cast("string"), F.lit("o")).alias("id"), F.expr(f"{T} div 86400").cast("string").alias(T), F.lit("1,5").alias("lat"), F.lit("2").alias("lon"))
+    counted = many.withColumn("n", F.count("*").over(Window.partitionBy("id", T)))
+    return process(counted, features.FormatPoints(MODEL)).select("id", T, "n")
+
+
+@_query(with_points(f"SELECT id, {T}, last_value(CASE WHEN value > 40 THEN id || '#' || {T} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY {T} ROWS UNBOUNDED PRECEDING) AS run FROM points"))
+def state_id_from_condition(spark, d):
+    return process(points(spark, d), segments.RunFromCondition("id", T, "run", F.col("value") > 40)).select(*_PTS, "run")
+
+
+@_query(with_fragments(f"SELECT {C.FRAGMENT_ID}, round({C.DISTANCE}, 3) AS {C.STRAIGHT}, 1.0e0 AS {C.STRAIGHTNESS} FROM fragments"))
+def straight_lines(spark, d):
+    return flow(spark, d).select(C.FRAGMENT_ID, F.round(C.STRAIGHT, 3).alias(C.STRAIGHT), C.STRAIGHTNESS)
+
+
+_CORNER = "CASE WHEN std = 0 THEN 1e-4 ELSE std END"
+
+
+@_query(with_fragments(f"""SELECT {C.FRAGMENT_ID}, CAST(len(c) AS BIGINT) AS corners, round(list_max(list_transform(c, lambda i: mx + rx * cos(i * pi() / 6))), 5) AS east, round(list_min(list_transform(c, lambda i: my + ry * sin(i * pi() / 6))), 5) AS south
+  FROM (SELECT {C.FRAGMENT_ID}, range(13) AS c, {C.CENTER_LON} AS mx, {C.CENTER_LAT} AS my, {_CORNER.replace("std", f"abs({C.END_LON} - plon) / 2")} AS rx, {_CORNER.replace("std", f"abs({C.END_LAT} - plat) / 2")} AS ry FROM fragments)"""))
+def precision_ellipses(spark, d):
+    """Extents of the ellipses around fragments."""
+    out = process(points(spark, d), fragments.FlowFragments(MODEL, precision=True))
+    pair = F.regexp_extract_all(C.PRECISION_TRAIL, F.lit(r"-?[0-9.]+ -?[0-9.]+"), F.lit(0))
+    xs = F.transform(pair, lambda p: F.substring_index(p, " ", 1).cast("double"))
+    ys = F.transform(pair, lambda p: F.substring_index(p, " ", -1).cast("double"))
+    return out.select(C.FRAGMENT_ID, F.size(pair).cast("bigint").alias("corners"), F.round(F.array_max(xs), 5).alias("east"), F.round(F.array_min(ys), 5).alias("south"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,17 +67,18 @@ def _seconds(at: datetime) -> int:
     return int(at.timestamp())
 
 
-def _day(at: datetime) -> int:
-    return int(at.astimezone(timezone.utc).strftime("%Y%m%d"))
+def _day(at: datetime, beside: int) -> int:
+    """The day beside that of ``at``: days of partitions are those of a session's zone, so the bound leaves room for any."""
+    return int((at.astimezone(timezone.utc) + timedelta(days=beside)).strftime("%Y%m%d"))
 
 
 def from_start(df: DataFrame, start: datetime | None, timestamp: str = C.TIMESTAMP, partition: str = C.PARTITION) -> DataFrame:
     """Rows at or after ``start``, by day (which prunes partitions) and second."""
-    return df if start is None else df.where((F.col(partition) >= _day(start)) & (F.col(timestamp) >= _seconds(start)))
+    return df if start is None else df.where((F.col(partition) >= _day(start, -1)) & (F.col(timestamp) >= _seconds(start)))
 
 
 def until_stop(df: DataFrame, stop: datetime | None, timestamp: str = C.TIMESTAMP, partition: str = C.PARTITION) -> DataFrame:
-    return df if stop is None else df.where((F.col(partition) <= _day(stop)) & (F.col(timestamp) <= _seconds(stop)))
+    return df if stop is None else df.where((F.col(partition) <= _day(stop, 1)) & (F.col(timestamp) <= _seconds(stop)))
 
 
 def within(df: DataFrame, period: Period, timestamp: str = C.TIMESTAMP, partition: str = C.PARTITION) -> DataFrame:
