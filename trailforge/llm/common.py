@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,7 +65,11 @@ _RESIDENT: dict = {}
 def resident(key, make: Callable):
     """What a worker holds for ``key``; it holds one thing at a time, as workers outlive the stages that they serve."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # not with every C library
+                ctypes.CDLL(None).malloc_trim(0)
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 

@@ -65,7 +65,7 @@ class Remembered:
     batch at hand stay.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, ids: int = 4_000_000, kind: type = np.uint32) -> None:
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 250_000, ids: int = 4_000_000, kind: type = np.uint32) -> None:
         self.make, self.most, self.ids, self.kind = make, most, ids, kind
         self._clear()
 
