@@ -28,6 +28,8 @@ from .stretches import Remembered, gather, stretches, utf8
 
 #: Entries of each generation of a worker's memories (results don't depend on it).
 MEMO = 150_000
+#: A rank after all others.
+NEVER = 1 << 62
 
 # Letters and numbers assigned after Unicode 16.0, the version of the tiktoken library's patterns.
 _LATER = "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EEE 11B0A 11DB0-11DF1 1246F 12475-1247F 12550-12686 16EA0-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DFFF 1E6C0-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-3FC3F"
@@ -67,6 +69,7 @@ class BacktrackBPE:
         self._pattern = regex.compile(pattern)
         self._stretches, self._matches = Remembered(self._make), Memo(self._match)
         self._compatible: dict[tuple[int, int], bool] = {}
+        self._borders: tuple[dict[int, tuple[int, ...]], ...] = ({}, {})
         self.split: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
@@ -109,27 +112,30 @@ class BacktrackBPE:
             known = self._compatible[a, b] = self._check(a, b)
         return known
 
+    def _border(self, token: int, side: int) -> tuple[int, ...]:
+        """What stands at the first (0) or last (1) byte of ``token`` while it is made, from that byte to the whole, and ``NEVER``."""
+        known = self._borders[side].get(token)
+        if known is None:
+            steps = [NEVER, token]
+            while (part := self.split[steps[-1]][side]) != steps[-1]:
+                steps.append(part)
+            known = self._borders[side][token] = tuple(reversed(steps))
+        return known
+
     def _check(self, a: int, b: int) -> bool:
-        """Undo the latest merge on either side again and again; no earlier one may join the parts at the border."""
-        limit = 1 << 62
+        """Replay the merges that reach the border, by rank; none may join the two sides before both are whole."""
+        left, right = self._border(a, 1), self._border(b, 0)
+        i = j = 0
         while True:
-            joint = self.merge.get((a, b))
-            if joint is not None and joint < limit:
+            joint, grows_left, grows_right = self.merge.get((left[i], right[j]), NEVER), left[i + 1], right[j + 1]
+            if joint < grows_left and joint <= grows_right:  # of equal ranks the leftmost merge comes first
                 return False
-            if a > b:
-                limit, a = a, self.split[a][1]
-                if a != limit:
-                    continue
-                limit, b = b + 1, self.split[b][0]
-                if b + 1 == limit:
-                    return True
+            if grows_left == grows_right == NEVER:
+                return True
+            if grows_left <= grows_right:
+                i += 1
             else:
-                limit, b = b + 1, self.split[b][0]
-                if b + 1 != limit:
-                    continue
-                limit, a = a, self.split[a][1]
-                if a == limit:
-                    return True
+                j += 1
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
