@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailforge.llm import jaccard
+from trailforge.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,3 +83,34 @@ def test_stage_on_documents(spark):
 
 def test_empty(spark):
     assert jaccard.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _jobs(spark, docs):
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near-duplicates")
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+        return got, len(sc.statusTracker().getJobIdsForGroup("near"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_edges_take_few_jobs_and_give_the_same_components(spark, monkeypatch):
+    texts = _edited()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got, jobs = _jobs(spark, docs)
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    by_stars, more = _jobs(spark, docs)
+    assert got == by_stars == _components(texts)
+    assert jobs * 2 < more
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_chains_and_hubs(spark, few):
+    r = random.Random(2)
+    ids = [-(1 << 63), (1 << 63) - 1, *(r.getrandbits(63) - (1 << 62) for _ in range(300))]
+    r.shuffle(ids)
+    edges = [*zip(ids[:100], ids[1:101]), *((ids[101], x) for x in ids[102:200]), (ids[250], ids[250]), (ids[7], ids[3])]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {x.node: x.component for x in connected_components(frame, few=few).collect()}
+    assert got == {x: min(part) for part in (ids[:101], ids[101:200]) for x in part}
