@@ -7,8 +7,10 @@ continuation counts, so a stretch that neither class has shown weighs nothing,
 and a rare form of an insult is known by the part it shares with others.
 
 All labelled rows that may be learned from are counted, gram by gram, and the
-counts grow with them; beyond ``MOST_GRAMS`` distinct grams of the highest order
-the rarest are pruned, which bounds what is broadcast.  Grams are found by their
+counts grow with them and none is pruned.  Up to ``MOST_GRAMS`` distinct grams of
+the highest order are broadcast; with more, tables of all grams are joined with
+those of the documents' distinct words, and blocks of documents get the ratios of
+their own words, which gives the same scores.  Grams are found by their
 64-bit hashes (of ten million grams, two share one with a chance of 3 in a
 million).  Ratios are normalised by length over the whole text and over its
 windows of words; a logistic curve over both, fitted on a bounded sample of
@@ -20,13 +22,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, resident, row_slices, whole_text, with_columns
 from .stretches import Remembered, stretches, utf8
@@ -39,7 +43,7 @@ SINGLE, DOUBLE = 0.9, 0.82
 SPANS, HIGHEST = (6, 12), (1, 3, 5)
 #: Labelled ids that the curve is fitted on, about, half of each class where there are enough; of an id's rows one is taken.
 FITTED_ON = 20_000
-#: Distinct grams of the highest order that a model holds; of more, those below the least count that leaves so many are pruned.
+#: Distinct grams of the highest order that are broadcast; with more, all are joined with the grams of the documents' words.
 MOST_GRAMS = 4_000_000
 #: Grams that a task gathers before it hands them on.
 HELD_GRAMS = 500_000
@@ -126,6 +130,30 @@ class Index:
         return found
 
 
+def letter_ratio(total: float, kinds: float, below: list[np.ndarray], before: list[tuple[np.ndarray, np.ndarray]], sides: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Log-likelihood ratios of letters, each after the ones before it.
+
+    ``below``: continuation counts of the grams of 1 ... ``ORDER - 1`` letters;
+    ``before``: sums and kinds of the histories of 1 ... ``ORDER - 2`` letters;
+    ``sides``: for toxic and ordinary text, the count of the whole gram, and sum
+    and kinds of its history.
+    """
+    p = np.full(len(below[0]), FLOOR)
+    totals, kind = np.full(len(p), total), np.full(len(p), kinds)
+    for c, after in zip(below, [*before, None], strict=True):
+        t = np.maximum(totals, 1)
+        p = np.where(totals > 0, np.maximum(c - DISCOUNT, 0) / t + DISCOUNT * kind / t * p, p)
+        if after:
+            totals, kind = after[0].astype(float), after[1]
+    ratio = np.zeros(len(p))
+    for sign, (c, n, k) in zip((1, -1), sides, strict=True):
+        c, n = c.astype(float), n.astype(float)
+        t = np.maximum(n, 1)
+        less = np.where(c <= 1, SINGLE, np.where(c <= 2, DOUBLE, DISCOUNT))
+        ratio += sign * np.log(np.where(n > 0, np.maximum(c - less, 0) / t + SINGLE * k / t * p, p))
+    return ratio
+
+
 class Ratio:
     """Log-likelihood ratios of words and texts, from counts.
 
@@ -143,22 +171,16 @@ class Ratio:
     def words(self, words: list[str]) -> np.ndarray:
         """The ratio of each word, summed over its letters and cut to ``MOST``."""
         keys, before, of = hashes(words)
-        p = np.full(len(of), FLOOR)
-        total, kinds = np.full(len(of), self.total), np.full(len(of), self.kinds)
+        below, before_it = [], []
         for n in range(1, ORDER):
             index, table = self.levels[n - 1]
-            t = np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(table["c"][index(keys[n - 1])] - DISCOUNT, 0) / t + DISCOUNT * kinds / t * p, p)
+            below.append(table["c"][index(keys[n - 1])])
             history = index(before[n])
             if n < ORDER - 1:
-                total, kinds = table["n"][history].astype(float), table["k"][history]
+                before_it.append((table["n"][history], table["k"][history]))
         index, top = self.levels[-1]
-        row, ratio = index(keys[-1]), np.zeros(len(of))
-        for sign, side in ((1, "t"), (-1, "o")):
-            c, total, kinds = top[side][row].astype(float), table["n" + side][history].astype(float), table["k" + side][history]
-            t = np.maximum(total, 1)
-            less = np.where(c <= 1, SINGLE, np.where(c <= 2, DOUBLE, DISCOUNT))
-            ratio += sign * np.log(np.where(total > 0, np.maximum(c - less, 0) / t + SINGLE * kinds / t * p, p))
+        row = index(keys[-1])
+        ratio = letter_ratio(self.total, self.kinds, below, before_it, [(top[x][row], table["n" + x][history], table["k" + x][history]) for x in "to"])
         return np.clip(np.bincount(of, ratio, len(words)), -MOST, MOST)
 
     def _make(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +216,17 @@ class Ratio:
         return out
 
 
+class Looked(Ratio):
+    """The same from ratios of words that are known already."""
+
+    def __init__(self, known: dict[str, float]) -> None:
+        self.known = known
+        self._remembered = Remembered(self._make, kind=np.float64)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
+
+
 #: Ratios per word over the text, and of those above 0; the highest over windows; the mean of the highest words; log of the length.
 FEATURES = ("mean", "above", *(f"span{n}" for n in SPANS), *(f"high{n}" for n in HIGHEST), "size")
 
@@ -276,7 +309,7 @@ def _learned(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _kept(grams: DataFrame) -> DataFrame:
-    """The grams of a model: all, or those of the least count that leaves ``MOST_GRAMS`` at most."""
+    """All grams, or those of the least count that leaves ``MOST_GRAMS`` at most; no score is made from these."""
     total = sum(map(F.col, COUNTS))
     # how many grams have each count, counts of 1,000 and more together
     of = sorted(((r.c, r.n) for r in grams.groupBy(F.least(total, F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -289,19 +322,26 @@ def _kept(grams: DataFrame) -> DataFrame:
     return grams.where(total >= least) if least > 1 else grams
 
 
-def _counts(learned: DataFrame) -> dict:
-    """All counts of a model, as arrays; they grow with the distinct grams of the learned rows, of which ``MOST_GRAMS`` are kept."""
+def _tables(learned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grams of the highest order with their counts, and ``_SUMS`` by size and key of the grams and histories below; all of them."""
     rows = "gram string, t0 bigint, o0 bigint, t1 bigint, o1 bigint"
     counted = learned.select("text", "side").mapInArrow(_count_grams, rows)
-    level = top = _kept(materialize(counted.groupBy("gram").agg(*(F.sum(x).alias(x) for x in COUNTS)), "grams"))
+    level = top = materialize(counted.groupBy("gram").agg(*(F.sum(x).alias(x) for x in COUNTS)), "grams")
     every = top.select(F.lit(ORDER).alias("size"), "gram", *COUNTS)
     for n in range(ORDER - 1, 0, -1):
         level = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("t0"))
         every = every.unionByName(level.select(F.lit(n).alias("size"), "gram", "t0", *(F.lit(0).cast("bigint").alias(x) for x in COUNTS[1:])))
     keyed = every.mapInArrow(_keyed, "size int, key bigint, " + ", ".join(f"{x} bigint" for x in _SUMS))
     keyed = materialize(keyed.groupBy("size", "key").agg(*(F.sum(x).cast("int").alias(x) for x in _SUMS)), "gram-sums")
-    own = top.mapInArrow(_own_keys, "key bigint, t0 bigint, o0 bigint, t1 bigint, o1 bigint").select("key", *(F.col(x).cast("int").alias(x) for x in COUNTS))
+    return top.mapInArrow(_own_keys, "key bigint, t0 bigint, o0 bigint, t1 bigint, o1 bigint").select("key", *(F.col(x).cast("int").alias(x) for x in COUNTS)), keyed
+
+
+def _counts(learned: DataFrame) -> dict:
+    """All counts of a model, as arrays; they grow with the distinct grams of the learned rows."""
+    return _arrays(*_tables(learned))
+
 
+def _arrays(own: DataFrame, keyed: DataFrame) -> dict:
     def arrays(df: DataFrame) -> dict[str, np.ndarray]:
         got = df.toArrow()
         out = {x: got[x].to_numpy() for x in got.column_names}
@@ -312,6 +352,89 @@ def _counts(learned: DataFrame) -> dict:
     return {"first": {x: int(first[x].sum()) for x in "nk"}, "below": below, "top": arrays(own)}
 
 
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ORDER`` letters for each letter of distinct words, and its place."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 5_000):
+            words = batch["word"].slice(a, 5_000)
+            _, grams, of = hashes(words.to_pylist(), True)
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(of)), pa.array(place, pa.int32()), pa.array(grams)], names=["word", "place", "gram"])
+
+
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each gram the keys of its ends of 1 ... ``ORDER`` letters (slots 1 ...) and of the 1 ... ``ORDER - 1`` letters before its last (slots -1 ...)."""
+    for batch in batches:
+        if batch.num_rows:
+            grams = batch["gram"].to_pylist()
+            ends = {n: [g[-n:] for g in grams] for n in range(1, ORDER + 1)} | {-n: [g[-1 - n : -1] for g in grams] for n in range(1, ORDER)}
+            for slot, own in ends.items():
+                same = [pa.array(np.full(len(own), x), pa.int32()) for x in (slot, abs(slot))]
+                yield pa.RecordBatch.from_arrays([batch["gram"], *same, pa.array(gram_hashes(own).view(np.int64))], names=["gram", "slot", "size", "key"])
+
+
+def _word_ratios(words: DataFrame, own: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``(word, r, r0, r1)``: ratios of distinct words by all counts, and by those of each fold; as ``Ratio.words`` makes them."""
+    first = keyed.where("size = 0").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    total, kinds = float(first.n or 0), float(first.k or 0)
+    placed = materialize(words.mapInArrow(_word_grams, "word string, place int, gram string"), "word-grams")
+    probes = placed.select("gram").distinct().mapInArrow(_probes, "gram string, slot int, size int, key bigint")
+    none = F.lit(0)
+    table = keyed.where("size > 0").select("size", "key", *_SUMS, *(none.alias(x) for x in COUNTS))
+    table = table.unionByName(own.select(F.lit(ORDER).alias("size"), "key", *(none.alias(x) for x in _SUMS), *COUNTS))
+    at = lambda slot, x: F.coalesce(F.max(F.when(F.col("slot") == slot, F.col(x))), none)
+    wanted = {f"c{n}": (n, "c") for n in range(1, ORDER)} | {f"{x}{n}": (-n, x) for n in range(1, ORDER - 1) for x in "nk"}
+    wanted |= {f"before_{x}": (1 - ORDER, x) for x in _SUMS[3:]} | {f"own_{x}": (ORDER, x) for x in COUNTS}
+    found = probes.join(table, ["size", "key"]).groupBy("gram").agg(*(at(*of).alias(x) for x, of in wanted.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = lambda x: batch[x].to_numpy().astype(np.float32)
+            both = lambda x, folds: sum(batch[x + f].to_numpy().astype(np.int64) for f in folds).astype(np.float32)
+            below, before = [col(f"c{n}") for n in range(1, ORDER)], [(col(f"n{n}"), col(f"k{n}")) for n in range(1, ORDER - 1)]
+            made = []
+            for fold in ("", "0", "1"):
+                sides = [(both(f"own_{x}", fold or "01"), both(f"before_n{x}", fold or "01"), col(f"before_k{x}{fold}")) for x in "to"]
+                made.append(pa.array(letter_ratio(total, kinds, below, before, sides)))
+            yield pa.RecordBatch.from_arrays([batch["gram"], *made], names=["gram", "r", "r0", "r1"])
+
+    ratios = found.mapInArrow(run, "gram string, r double, r0 double, r1 double")
+    parts = placed.join(ratios, "gram", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("r", "r0", "r1"))))).alias("each"))
+    summed = lambda x: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.aggregate("each", F.lit(0.0), lambda had, one: had + one[x])))
+    return parts.select("word", *(summed(x).alias(x) for x in ("r", "r0", "r1")))
+
+
+def _by_words(docs: DataFrame, text_col: str, tables: tuple[DataFrame, DataFrame], schema: T.StructType, make: Callable[[pa.Table, dict[str, Ratio]], pa.Table]) -> DataFrame:
+    """What ``make`` gives for each block of ``docs`` and the ratios of the block's own words, by all counts and by fold."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(row_slices(batches, text_col)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part + k)), *batch.columns], names=["_block", *batch.schema.names])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in np.unique(batch["_block"].to_numpy()).tolist() if batch.num_rows else []:
+                parts, _ = stretches(*utf8(batch["text"].filter(pa.array(batch["_block"].to_numpy() == block))))
+                words = sorted(set(chain.from_iterable(words_of(x.decode("utf-8", "surrogatepass")) for x in parts.dictionary.to_pylist())))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words, pa.string())], names=["_block", "word"])
+
+    # the blocks are written, as they are not the same when they are cut again
+    blocks = materialize(docs.mapInArrow(cut, T.StructType([T.StructField("_block", T.LongType()), *docs.schema.fields])), "blocks")
+    words = materialize(blocks.select("_block", F.col(text_col).alias("text")).mapInArrow(listed, "_block long, word string").distinct(), "block-words")
+    told = words.join(_word_ratios(words.select("word").distinct(), *tables), "word")
+
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        words = own["word"].to_pylist()
+        return make(block, {x: Looked(dict(zip(words, own[x].to_pylist(), strict=True))) for x in ("r", "r0", "r1")})
+
+    return blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(run, schema)
+
+
+def _whole_column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], pa.string())
+
+
 def _model(counts: dict, fold: str = "") -> list[dict[str, np.ndarray]]:
     """What ``Ratio`` takes: of all learned rows, or of one fold."""
     *below, last = counts["below"]
@@ -336,25 +459,33 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def _curve(ins: DataFrame, usable: DataFrame, counts: dict, toxic: int, labels: int) -> np.ndarray | None:
+def _curve(ins: DataFrame, usable: DataFrame, counts: dict | None, tables: tuple[DataFrame, DataFrame], toxic: int, labels: int) -> np.ndarray | None:
     """The logistic curve, from a bounded sample of each class weighed by its share; None where one class has no documents."""
     share = {c: min(1.0, FITTED_ON / 2 / n) for c, n in ((1, toxic), (0, labels - toxic))}
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
     drawn = F.when(F.col("toxic") == 1, part < int(share[1] * (1 << 20))).otherwise(part < int(share[0] * (1 << 20)))
     some = usable.select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).distinct().where(drawn)
     known = _learned(ins, F.broadcast(some)).groupBy("doc_id", "side").agg(F.min("text").alias("text"))  # an id may have many rows
-    spark, mark = ins.sparkSession, uuid.uuid4().hex
-    halves = spark.sparkContext.broadcast([_model(counts, "1"), _model(counts, "0")])
+    spark, mark, schema = ins.sparkSession, uuid.uuid4().hex, "side int, " + ", ".join(f"{x} double" for x in FEATURES)
+    halves = counts and spark.sparkContext.broadcast([_model(counts, "1"), _model(counts, "0")])
+
+    def features(texts: pa.Array, side: pa.Array, first: Ratio, second: Ratio) -> list[pa.Array]:
+        found = np.where((side.to_numpy(zero_copy_only=False) < 2)[:, None], first.texts(texts), second.texts(texts))
+        return [side, *(pa.array(found[:, j]) for j in range(len(FEATURES)))]
+
+    def by_words(block: pa.Table, ratios: dict[str, Ratio]) -> pa.Table:
+        return pa.table(features(_whole_column(block, "text"), _whole_column(block, "side"), ratios["r1"], ratios["r0"]), names=["side", *FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             models = resident(mark, lambda: [Ratio(x) for x in halves.value])
-            side = batch["side"].to_numpy(zero_copy_only=False)
-            found = np.where((side < 2)[:, None], models[0].texts(batch["text"]), models[1].texts(batch["text"]))
-            yield pa.RecordBatch.from_arrays([batch["side"], *(pa.array(found[:, j]) for j in range(len(FEATURES)))], names=["side", *FEATURES])
+            yield pa.RecordBatch.from_arrays(features(batch["text"], batch["side"], *models), names=["side", *FEATURES])
 
-    seen = known.select("text", "side").mapInArrow(run, "side int, " + ", ".join(f"{x} double" for x in FEATURES)).toArrow()
-    halves.unpersist()
+    if counts:
+        seen = known.select("text", "side").mapInArrow(run, schema).toArrow()
+        halves.unpersist()
+    else:
+        seen = _by_words(known.select("text", "side"), "text", tables, T._parse_datatype_string(schema), by_words).toArrow()
     y = (seen["side"].to_numpy() % 2 == 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -378,10 +509,19 @@ def with_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     w = None
     if 0 < n.t < n.n:
         # labels grow with the documents: joined by sorting at every size, rather than broadcast while they are few
-        counts = _counts(_learned(ins, usable.hint("merge")))
-        w = _curve(ins, usable, counts, n.t, n.n)
+        tables = _tables(_learned(ins, usable.hint("merge")))
+        counts = _arrays(*tables) if tables[0].count() <= MOST_GRAMS else None
+        w = _curve(ins, usable, counts, tables, n.t, n.n)
     if w is None:
         out = docs.drop("held_out", "predicted").withColumn("score", F.lit((n.t + 0.5) / (n.n + 1)))
+    elif counts is None:
+        held = docs.drop("held_out", "predicted", "score").withColumn(text_col, F.col(text_col).cast("string"))
+
+        def scored(block: pa.Table, ratios: dict[str, Ratio]) -> pa.Table:
+            line = ratios["r"].texts(_whole_column(block, text_col)) @ w[:-1] + w[-1]
+            return block.drop_columns(["_block"]).append_column("score", pa.array(1 / (1 + np.exp(-np.clip(line, -700, 700)))))
+
+        out = _by_words(held, text_col, tables, T.StructType([*held.schema.fields, T.StructField("score", T.DoubleType())]), scored)
     else:
         model, mark = spark.sparkContext.broadcast(_model(counts)), uuid.uuid4().hex
 
