@@ -54,6 +54,33 @@ def test_summary_keeps_other_rows(spark):
     assert out["m2"][C.DISTANCE] == 100.0 and out["m3"][C.MOVING_STATE] is None
 
 
+def test_summaries_read_their_rows_once(spark):
+    """Equal rows, rows without a key and rows without a state all pass, and what makes the table is in the plan once."""
+    fixed = {C.NB_POINTS: 2, C.TRAIL: "LINESTRING (0 0, 1 1)", C.DURATION: 10, C.END_LAT: 1.0, C.END_LON: 1.0, C.CENTER_LAT: 0.5, C.CENTER_LON: 0.5, C.DISTANCE: 5.0, C.VISIBILITY: 1.0, C.COURSE_DURATION: 10}
+    kinds = [("c", C.COURSE), ("c", C.STOP), ("c", C.STOP), ("c", None), ("c", None), (None, C.COURSE), (None, C.COURSE), ("c", C.COURSE), ("c", C.COURSE)]
+    rows = [{"id": "o", "n": i, C.COURSE_ID: key, C.COURSE_OR_STOP: kind, C.COURSE_STATE: C.MOTION, C.MOVING_STATE: C.MOVE, C.START: 0, C.END: 10, **fixed} for i, (key, kind) in enumerate(kinds)]
+    rows[7] |= {C.START: -10, C.END: 0, C.TRAIL: None}
+    rows[8] |= {C.START: 10, C.END: 20, C.MOVING_STATE: C.STILL, C.CENTER_LON: 0.123456789, C.CENTER_LAT: -0.00000001}
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {'int' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in (rows[0] | {"id": "o"}).items()))
+    out = process(df.repartition(3), fragments.CourseExtraction(M))
+    got = out.collect()
+    assert sorted(r.n for r in got if r.n is not None) == [3, 4, 5, 6]
+    (course,) = (r for r in got if r.n is None)
+    assert (course[C.START], course[C.END], course[C.NB_POINTS], course[C.DISTANCE]) == (-10, 20, 4, 15.0)
+    # the first place is that of the first row with a trail; a still row gives its centre, as the trail has it
+    assert course[C.TRAIL] == "LINESTRING (0 0, 1 1, 0.1234568 0)"
+    assert [course[f"{s}{x}"] for s in (C.DEPARTURE, C.ARRIVAL) for x in ("lat", "lon")] == [0.0, 0.0, 0.0, 0.123457]
+    assert out._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+
+
+def test_missions_make_no_trails(spark):
+    """The places of courses need no Python, and the fold's rows are as narrow as can be."""
+    from trailforge.plans import catalog
+
+    plan = catalog.QUERIES["mission_tag"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 0 and plan.count("MapInArrow") == 1 and plan.count("Relation") == 1
+
+
 def test_main_tempo(spark):
     summary = fragments.StopPauseSummary(M, tempos={"a": "fast", "b": "slow", "i": C.IRREGULAR})
     df = spark.createDataFrame([(0, 0.5, 0.4, 0.1), (1, 0.0, 0.0, 1.0), (2, 0.05, 0.9, 0.05)], "k int, a double, b double, i double").withColumns(summary._main_tempo())

@@ -1,9 +1,9 @@
 """Fragments between consecutive points, and summaries of runs of fragments.
 
 A summary aggregates the rows that meet a condition by a key and leaves the
-others as they are: one ``groupBy`` with map-side partial results and a union,
-instead of windows over every row.  Values that hang on order (first, last,
-trails) come from ``min_by``/``max_by`` and sorted lists over the start time.
+others as they are, in one ``groupBy`` that reads its rows once.  Values that
+hang on order (first, last, trails) come from ``min_by``/``max_by`` and sorted
+lists over the start time.
 """
 
 from __future__ import annotations
@@ -130,7 +130,14 @@ class FragmentSummary(Transformer):
         if self.precision:
             aggregates |= {C.CENTER_LAT_STD: F.round(F.stddev_pop(C.CENTER_LAT), 12), C.CENTER_LON_STD: F.round(F.stddev_pop(C.CENTER_LON), 12)}
         aggregates |= self.extra(df)
-        summary = df.where(ok).groupBy(self.key).agg(*(v.alias(k) for k, v in aggregates.items()))
+        if "__rows" in aggregates:
+            aggregates["__rows"] = F.when(F.col("__ok"), aggregates["__rows"])
+        # one pass: a row that isn't summed up is a group of its own, numbered within its key (rows without one: within their object)
+        w = W.partitionBy(self.key, "__spread").orderBy(C.START, C.END)
+        marked = df.withColumns({"__ok": ok, "__spread": F.when(F.col(self.key).isNull(), F.col(self.model.id))})
+        marked = marked.withColumn("__own", F.when(~F.col("__ok"), F.row_number().over(w)))
+        own = {c: F.first(c).alias(f"__own_{c}") for c in df.columns if c != self.key}
+        summary = marked.groupBy(self.key, "__spread", "__ok", "__own").agg(*(v.alias(k) for k, v in aggregates.items()), *own.values())
         for side, last in (("first", False), ("last", True)):
             pair = F.regexp_extract_all(f"__{side}", F.lit(r"(-?[0-9.]+ -?[0-9.]+)"))
             xy = F.split(F.element_at(pair, -1 if last else 1), " ")
@@ -149,7 +156,11 @@ class FragmentSummary(Transformer):
         if self.tempos:
             summary = summary.withColumns(self._main_tempo())
         summary = self.after(summary).drop(*(f"__{s}{x}" for s in ("first", "last") for x in ("", "_lat", "_lon")))
-        return self.finish(summary.unionByName(df.where(~ok), allowMissingColumns=True))
+        hidden = {"__spread", "__ok", "__own", *(f"__own_{c}" for c in own)}
+        summed = [c for c in summary.columns if c not in hidden]
+        is_sum = F.col("__ok")
+        either = [F.col(c) if c == self.key else F.when(is_sum, F.col(c)).otherwise(F.col(f"__own_{c}") if c in own else None).alias(c) for c in summed]
+        return self.finish(summary.select(*either, *(F.when(~is_sum, F.col(f"__own_{c}")).alias(c) for c in own if c not in summed)))
 
     def _main_tempo(self) -> dict[str, Column]:
         regular = [c for c, tempo in self.tempos.items() if tempo != self.irregular]
@@ -173,6 +184,19 @@ def _joined(rows: Column, use) -> Column:
     return _TRAIL(F.transform(rows, lambda r: F.struct(r[C.TRAIL].alias(C.TRAIL), r[C.CENTER_LAT].alias(C.CENTER_LAT), r[C.CENTER_LON].alias(C.CENTER_LON), use(r).alias("use"))))
 
 
+_VERTEX = r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+-?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+
+
+def _along(state) -> Column:
+    """Whether a course's trail takes the row's own vertices; of a still row it takes the centre."""
+    return F.coalesce(state != C.STILL, F.lit(True))
+
+
+def _placed() -> Column:
+    """Whether the row gives the course's trail a vertex."""
+    return ~_along(F.col(C.MOVING_STATE)) | F.coalesce(F.col(C.TRAIL).rlike(_VERTEX), F.lit(False))
+
+
 class StopPauseSummary(FragmentSummary):
     """One row for each still motion."""
 
@@ -250,6 +274,7 @@ class CourseExtraction(FragmentSummary):
         seen = F.coalesce(F.col(C.VISIBILITY) >= SEEN, F.lit(False))
         total = lambda ok, c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
         weight = F.sum(F.when(pause & F.col(C.VISIBILITY).isNotNull(), F.col(C.DURATION)))
+        parts = (C.TRAIL, C.CENTER_LAT, C.CENTER_LON, C.COURSE_STATE, C.MOVING_STATE, C.VISIBILITY)
         return {
             "motions_visible_duration_s": total(motion & seen, C.DURATION),
             "motions_invisible_duration_s": total(motion & ~seen, C.DURATION),
@@ -259,7 +284,10 @@ class CourseExtraction(FragmentSummary):
             "pauses_short_number": F.count_if(pause).cast("int"),
             "pauses_long_number": F.lit(0),
             "pauses_visibility_proportion": F.try_divide(F.sum(F.when(pause, F.col(C.VISIBILITY) * F.col(C.DURATION))), weight),
-            "__rows": _in_order(C.TRAIL, C.CENTER_LAT, C.CENTER_LON, C.COURSE_STATE, C.MOVING_STATE, C.VISIBILITY),
+            "__rows": _in_order(*parts),
+            # the ends of the trail on their own, so that who needs only places makes no trails
+            "__from": F.min(F.when(_placed(), F.struct(C.START, C.END, *parts))),
+            "__to": F.max(F.when(_placed(), F.struct(C.START, C.END, *parts))),
         }
 
     def after(self, summary: DataFrame) -> DataFrame:
@@ -281,13 +309,16 @@ class CourseExtraction(FragmentSummary):
             "pauses_location": F.transform(pauses, lambda r: F.concat_ws(",", r[C.CENTER_LAT].cast("string"), r[C.CENTER_LON].cast("string"))),
             "motions_visible_trail": grouped[True](flags, trails),
             "motions_invisible_trail": grouped[False](flags, trails),
-            C.TRAIL: _joined(rows, lambda r: F.coalesce(r[C.MOVING_STATE] != C.STILL, F.lit(True))),
+            C.TRAIL: _joined(rows, lambda r: _along(r[C.MOVING_STATE])),
         })
-        pair = F.regexp_extract_all(C.TRAIL, F.lit(r"(-?[0-9.]+ -?[0-9.]+)"))
-        for side, at in ((C.DEPARTURE, 1), (C.ARRIVAL, -1)):
-            xy = F.split(F.try_element_at(pair, F.lit(at)), " ")
-            out = out.withColumns({f"{side}lon": F.round(F.get(xy, F.lit(0)).try_cast("double"), 6), f"{side}lat": F.round(F.get(xy, F.lit(1)).try_cast("double"), 6)})
-        return out.drop("__rows")
+        for side, end, at in ((C.DEPARTURE, "__from", 1), (C.ARRIVAL, "__to", -1)):
+            row = F.col(end)
+            xy = F.split(F.try_element_at(F.regexp_extract_all(row[C.TRAIL], F.lit(f"({_VERTEX})")), F.lit(at)), r"\s+")
+            for i, x, centre in ((0, "lon", C.CENTER_LON), (1, "lat", C.CENTER_LAT)):
+                place = F.when(_along(row[C.MOVING_STATE]), F.get(xy, F.lit(i)).try_cast("double")).otherwise(row[centre])
+                # as the trail writes it: seven decimals
+                out = out.withColumn(f"{side}{x}", F.round(F.bround(place.try_cast("decimal(38,18)"), 7).cast("double"), 6))
+        return out.drop("__rows", "__from", "__to")
 
     def finish(self, df: DataFrame) -> DataFrame:
         w = W.partitionBy(self.model.id).orderBy(C.START, C.END)

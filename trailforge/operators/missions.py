@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import atan, atan2, cos, radians, sin, sqrt, tan
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,19 +21,19 @@ _ADDRESS = [f"{side}{f}" for side in (C.DEPARTURE, C.ARRIVAL) for f in C.ADDRESS
 
 def inverse(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     """Metres between two places (Vincenty, as in ``geodesy``)."""
-    from math import atan, atan2, cos, radians, sin, sqrt, tan
-
     f = geodesy.FLATTENING
     u, v, lam0 = atan((1 - f) * tan(radians(lat1))), atan((1 - f) * tan(radians(lat2))), radians(lon2 - lon1)
+    su, cu, sv, cv = sin(u), cos(u), sin(v), cos(v)
     lam = lam0
     for _ in range(geodesy.ROUNDS):
-        ss = sqrt((cos(v) * sin(lam)) ** 2 + (cos(u) * sin(v) - sin(u) * cos(v) * cos(lam)) ** 2)
+        sl, cl = sin(lam), cos(lam)
+        ss = sqrt((cv * sl) ** 2 + (cu * sv - su * cv * cl) ** 2)
         if ss == 0:
             return 0.0
-        cs = sin(u) * sin(v) + cos(u) * cos(v) * cos(lam)
-        s, sa = atan2(ss, cs), cos(u) * cos(v) * sin(lam) / ss
+        cs = su * sv + cu * cv * cl
+        s, sa = atan2(ss, cs), cu * cv * sl / ss
         ca = 1 - sa * sa
-        cm = cs - 2 * sin(u) * sin(v) / ca if ca > 0 else 0.0
+        cm = cs - 2 * su * sv / ca if ca > 0 else 0.0
         c = f / 16 * ca * (4 + f * (4 - 3 * ca))
         lam = lam0 + (1 - c) * f * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
     q = ca * (geodesy.AXIS**2 - geodesy.MINOR**2) / geodesy.MINOR**2

@@ -354,7 +354,9 @@ _MISSIONS_SQL = _COURSES_SQL + f""",
 def mission_tag(spark, d):
     courses = process(runs(spark, d), fragments.CourseExtraction(MODEL)).withColumn("sensor", F.col(C.DISTANCE))
     named = courses.withColumns({f"{s}{f}": F.lit(None).cast("string") for s in (C.DEPARTURE, C.ARRIVAL) for f in C.ADDRESS_FIELDS})
-    out = process(named, missions.Missions(MODEL, "sensor", C.DISTANCE))
+    tag = missions.Missions(MODEL, "sensor", C.DISTANCE)
+    # no more goes through the fold than it needs: what Python takes, Spark can't prune, and trails are dear
+    out = process(named.select(C.COURSE_ID, *tag.required()), tag)
     return out.select("id", C.COURSE_ID, f"{C.MISSION}id", f"{C.MISSION}duration_s", F.round(f"{C.MISSION}straight_line_m", 3).alias(f"{C.MISSION}straight_line_m"), F.round(f"{C.MISSION}straightness", 5).alias(f"{C.MISSION}straightness"))
 
 
