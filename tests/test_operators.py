@@ -124,6 +124,59 @@ def test_viterbi_and_unknown(spark):
         HmmModel.read(spark, "/nowhere/model.json")
 
 
+def test_chunks_are_decoded_together(spark):
+    """As one by one, by a step for each value: chunks of many lengths, over several batches, scalars and lists, and with a limit."""
+    import numpy as np
+
+    model = HmmModel(("S", "M", "A"), (1.0, 2.0), {"S": (0.8, 0.2, 0.0), "M": (0.1, 0.6, 0.3), "A": (0.3, 0.3, 0.4)}, {"S": {"S": 0.7, "M": 0.3, "A": 0.0}, "M": {"S": 0.3, "M": 0.4, "A": 0.3}, "A": {"S": 0.2, "M": 0.2, "A": 0.6}}, {"S": 1.0, "M": 0.0, "A": 0.0})
+
+    def plain(values):
+        with np.errstate(divide="ignore"):
+            start, step = np.log([model.initial[s] for s in model.states]), np.log([[model.transition[a][b] for b in model.states] for a in model.states])
+            emit = np.log([model.emission[s] for s in model.states])[:, np.searchsorted(model.edges, values, side="right")].T
+        score, back = start + emit[0], []
+        for e in emit[1:]:
+            back.append((score[:, None] + step).argmax(0))
+            score = (score[:, None] + step).max(0) + e
+        path = [int(score.argmax())]
+        if not np.isfinite(score[path[0]]):
+            return ["Unknown"] * len(values)
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        return [model.states[k] for k in reversed(path)]
+
+    r = random.Random(5)
+    objects = {f"o{k}": [r.choice([[], [0.5], [1.0, 2.5, None], [float("nan"), 1.5], None]) for _ in range(r.choice([1, 2, 6, 7, 8, 40]))] for k in range(60)}
+    rows = [(o, i, v, (v or [None])[0]) for o, vs in objects.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), f"id string, {C.TIMESTAMP} int, v array<double>, x double")
+    clean = lambda v: [0.0 if x is None or x != x else x for x in v or [None]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for source, listed in (("v", clean), ("x", lambda v: clean(v)[:1])):
+            want = {}
+            for o, vs in objects.items():
+                for at in range(0, len(vs), 7):
+                    own = [listed(v) for v in vs[at : at + 7]]
+                    states = plain(np.array([x for v in own for x in v]))
+                    for i, v in enumerate(own):
+                        mine, states = states[: len(v)], states[len(v) :]
+                        want[o, at + i] = min(set(mine), key=lambda s: (-mine.count(s), s))
+            out = process(df, hmm.HmmStates(source, model, "id", "st", chunk=7))
+            assert {(q.id, q[C.TIMESTAMP]): q.st for q in out.collect()} == want and out.columns[-1] == "st"
+            assert all(want[q.id, q[C.TIMESTAMP]] == q.st for q in out.limit(3).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["hmm_moving_state"])
+def test_states_cost_no_other_columns(spark, name):
+    """Columns that a query of hidden states doesn't return aren't made: no geodesics, no trails."""
+    from trailforge.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "ATAN" not in plan.upper() and C.TRAIL not in plan
+
+
 def test_published_geodesics(spark):
     """Lengths and bearings from the literature: Flinders Peak to Buninyong, JFK to LHR, a degree of the equator, a quarter meridian."""
     dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (1 if d >= 0 else -1)
