@@ -168,7 +168,7 @@ def test_chunks_are_decoded_together(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["hmm_moving_state"])
+@pytest.mark.parametrize("name", ["hmm_moving_state", "hmm_tempo"])
 def test_states_cost_no_other_columns(spark, name):
     """Columns that a query of hidden states doesn't return aren't made: no geodesics, no trails."""
     from trailforge.plans import catalog
